@@ -75,3 +75,29 @@ def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], dict | None], sche
                     yield pa.RecordBatch.from_arrays([pa.array(out[n], type=k) for n, k in zip(names, kinds, strict=True)], names=names)
 
     return df.mapInArrow(run, schema)
+
+
+def append_struct(df: DataFrame, rows: Callable[[pa.RecordBatch], list[dict]], inputs: list[str], schema: str, name: str) -> DataFrame:
+    """``df`` and one struct column ``name`` made by ``rows`` from a batch of ``inputs``; no shuffle."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+    kind = _parse_datatype_string(schema)
+    arrow = to_arrow_type(kind)
+    whole = StructType([*df.schema.fields, StructField(name, kind)])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                made = pa.array(rows(batch.select(inputs)), type=arrow)
+                yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, name])
+
+    return df.mapInArrow(run, whole)
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with underscores before it until no column of ``df`` has that name."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted
