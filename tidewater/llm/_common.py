@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a task's vectorised step works on at once; one longer text is taken alone.
 CHUNK_BYTES = 2_000_000
@@ -72,7 +73,7 @@ def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], dict | None], sche
             if batch.num_rows:
                 out = rows(batch)
                 if out is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[n], type=k) for n, k in zip(names, kinds, strict=True)], names=names)
+                    yield pa.RecordBatch.from_arrays([out[n].cast(k) if isinstance(out[n], pa.Array) else pa.array(out[n], type=k) for n, k in zip(names, kinds, strict=True)], names=names)
 
     return df.mapInArrow(run, schema)
 
@@ -101,3 +102,21 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted = "_" + wanted
     return wanted
+
+
+#: Keys with more than one in so many rows are hot: there are fewer of them than this.
+HOT_SHARE = 1000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """Inner join of ``rows`` with ``counted``, which has each key once and in ``n`` its number of rows.
+
+    Hot keys number fewer than ``HOT_SHARE``, whatever the input, so they are sent to
+    where their rows are; only rows of other keys are shuffled.  Both inputs
+    should be durable, as they are read twice.
+    """
+    total = counted.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    hot = counted.filter(F.col(n) * HOT_SHARE > total)
+    cold = counted.filter(F.col(n) * HOT_SHARE <= total)
+    near = rows.join(F.broadcast(hot), on)
+    return near.unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on))
