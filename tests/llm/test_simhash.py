@@ -83,3 +83,11 @@ def test_empty_table_clashing_columns_and_repeated_rows(spark):
     assert simhash.near_duplicates(docs).count() == 0
     docs = spark.createDataFrame([(1, "a b c d e", "x"), (1, "a b c d e", "x"), (2, None, None)], "doc_id long, text string, fp string").withColumn("id", F.lit(1))
     assert sorted((r.id, r.component) for r in simhash.near_duplicates(docs).collect()) == [(1, 1), (1, 1), (2, 2)]
+
+
+def test_one_row_of_each_group_stays(spark):
+    docs = spark.createDataFrame([(3, "a b c d e"), (1, "A b c d e"), (1, "a b c d e"), (2, "quite another text here now"), (None, "a b c d e"), (None, "z"), (5, None), (6, "")], "doc_id long, text string").withColumn("fp", F.lit("x"))
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "2", "5", "None", "None"]
+    assert simhash.keep_one(docs.limit(0)).count() == 0

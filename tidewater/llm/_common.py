@@ -17,20 +17,35 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder that all executors share, its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share.
 
-    The folder is the session's own (``spark.checkpoint.dir``); only a session
-    without any, such as a bare test session, gets a temporary one.
+    It is the session's own (``spark.checkpoint.dir``); only a session without
+    any, such as a bare test session, gets a temporary one.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         import tempfile
 
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read again."""
+    import uuid
+
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def raw_texts(column: pa.Array) -> tuple[memoryview, np.ndarray]:
     """UTF-8 bytes of a string column and its n + 1 offsets; a null is an empty text."""
     column = column.cast(pa.large_string())

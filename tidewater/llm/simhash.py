@@ -138,3 +138,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = labelled.groupBy("root").agg(F.min("least").alias("component"))
     by_print = labelled.join(roots, "root").select("fp", "component")
     return prints.join(by_print, "fp").select("id", "fp", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each group: that of the smallest id, and one of several rows with this id.
+
+    Rows without an id can't stand for a group or be told apart; they all stay.
+    """
+    named = docs.filter(F.col(id_col).isNotNull())
+    found = near_duplicates(named, id_col, text_col, **options)
+    least = found.filter("id = component").select(F.col("id").alias(free := common.free_name(docs, "_least"))).distinct()
+    kept = named.join(least, named[id_col].cast("long") == least[free], "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
