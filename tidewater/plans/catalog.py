@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from ..streaming import events
+from . import evidence, relational
+
+QUERIES: dict = {**evidence.QUERIES, **relational.QUERIES, **events.QUERIES}
+ORACLE: dict = {**evidence.ORACLE, **relational.ORACLE, **events.ORACLE}
