@@ -38,7 +38,7 @@ LEAST_TEXTS = 4
 WINDOW, WHOLE = 8, 3.0
 THRESHOLD = 0.7
 #: Word scores that a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 
 def _fold(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -56,27 +56,40 @@ def _sums(owner: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
 def train(texts: list[bytes], labels: np.ndarray, seed: int = 1) -> tuple[np.ndarray, float]:
     """The log-odds that each bucket adds, and the bias: all that a linear softmax of two classes needs."""
     table = np.zeros(1 << subwords.BITS, dtype=np.float32)
-    folded, starts, ends, first = _fold(texts)
-    n = len(texts)
-    hashed = words.hashes(folded, starts, ends)
-    _, one, number = np.unique(hashed, return_index=True, return_inverse=True)
-    text = np.repeat(np.arange(n), np.diff(first))
-    cells, times = np.unique(text * max(1, len(one)) + number, return_counts=True)
-    text, number = cells // max(1, len(one)), cells % max(1, len(one))
-    common_words = np.bincount(number, minlength=len(one)) >= min(LEAST_TEXTS, 1 + n // 20)
     share = np.bincount(labels, minlength=2)
     bias = np.log(np.maximum(share, 0.5)).astype(np.float32)
+    # words of each text with their counts, a few megabytes of texts at a time
+    n, keys, counts, owners, sizes, seen = len(texts), [], [], [], np.zeros(len(texts), np.int64), []
+    for i, j in common.chunks(np.append(0, np.cumsum([len(t) for t in texts]))):
+        folded, starts, ends, first = _fold(texts[i:j])
+        unique, one, number = np.unique(words.hashes(folded, starts, ends), return_index=True, return_inverse=True)
+        sizes[i:j] = np.diff(first)
+        cells, times = np.unique(np.repeat(np.arange(j - i), sizes[i:j]) * max(1, len(unique)) + number, return_counts=True)
+        keys.append(unique[cells % max(1, len(unique))])
+        owners.append(i + cells // max(1, len(unique)))
+        counts.append(times)
+        data = folded.tobytes()
+        seen.append((unique, [data[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]))
+    unique, number, spread = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    common_words = spread >= min(LEAST_TEXTS, 1 + n // 20)
     if not common_words.any() or not share.all():
         return table, float(bias[1] - bias[0])
+    kept = unique[common_words]
+    pieces: list[bytes] = [b""] * len(kept)
+    for own, found in seen:
+        at = np.minimum(np.searchsorted(kept, own), len(kept) - 1)
+        for k in np.flatnonzero(kept[at] == own).tolist():
+            pieces[at[k]] = found[k]
+    del seen
     place = np.cumsum(common_words) - 1
-    data = folded.tobytes()
-    used, begin = subwords.buckets([data[starts[i] : ends[i]] for i in one[common_words]])
+    text, times = np.concatenate(owners), np.concatenate(counts)
+    used, begin = subwords.buckets(pieces)
     used, grams = np.unique(used, return_inverse=True)
-    sizes = np.diff(begin)
-    word_of = np.repeat(np.arange(len(sizes)), sizes)
     inner = common_words[number]
-    weight = (times[inner] / np.diff(first)[text[inner]]).astype(np.float32)[:, None] * SCALE
+    weight = (times[inner] / sizes[text[inner]]).astype(np.float32)[:, None] * SCALE
     text, number = text[inner], place[number[inner]]
+    sizes = np.diff(begin)
+    word_of = np.repeat(np.arange(len(sizes)), sizes)
     # both classes weigh the same
     part = np.where(labels == 1, 0.5 / share[1], 0.5 / share[0]).astype(np.float32)[:, None]
     target = np.eye(2, dtype=np.float32)[labels]
@@ -156,6 +169,10 @@ class Model:
         return values[number]
 
     def raw(self, texts: list[bytes]) -> np.ndarray:
+        parts = [self._raw(texts[i:j]) for i, j in common.chunks(np.append(0, np.cumsum([len(t) for t in texts])))]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def _raw(self, texts: list[bytes]) -> np.ndarray:
         folded, starts, ends, first = _fold(texts)
         total = np.append(0.0, np.cumsum(self.word_scores(folded, starts, ends), dtype=np.float64)) if len(starts) else np.zeros(1)
         sizes = np.diff(first)
@@ -175,12 +192,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.raw(texts) + self.shift, -40, 40)))
 
     def column(self, column: pa.Array) -> np.ndarray:
-        data, offsets = common.raw_texts(column)
-        out = np.zeros(len(column))
-        for i, j in common.chunks(offsets):
-            at = offsets[i : j + 1].tolist()
-            out[i:j] = self.score([bytes(data[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)])
-        return out
+        return self.score(list(common.each_text(column)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, value: int = 1, id_col: str = "doc_id", text_col: str = "text", rows: int = labelled.SAMPLE_ROWS) -> Model:
