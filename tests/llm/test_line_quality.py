@@ -7,18 +7,25 @@ from tidewater.llm import line_quality as q
 from tidewater.llm.q06_line_quality import ORACLE_SQL, op6_line_quality
 
 PROSE = "It was a plain day and the small river ran past the old mill as it had always done."
+
+
+def line(i):
+    """A line that shares no word with the others."""
+    return " ".join(f"{w}{i}" for w in PROSE.split())
+
+
 TEXTS = [
     None,
     "",
     " \n\t ",
     PROSE,
-    "\n".join([PROSE] * 2 + [f"{PROSE} {i}" for i in range(4)]),
-    "\n".join(f"Line {i}: {PROSE}" for i in range(6)) + "\nHome | News | Contact | About\nAll rights reserved.",
+    "\n".join([PROSE] * 2 + [line(i) for i in range(4)]),
+    "\n".join(f"Line {i}: {line(i)}" for i in range(6)) + "\nHome | News | Contact | About\nAll rights reserved.",
     "\n".join(f"{w}### {w}***  {w}&&&" for w in PROSE.split() * 4),
     " | ".join(PROSE.split() * 4),
     " ".join(f"{w.upper()}!!" for w in PROSE.split() * 4),
     "spam " * 400,
-    "a b c\x00 a b c\x00 d e " + PROSE * 3,
+    "a b c\x00 a b c\x00 d e " + " ".join(line(i) for i in range(3)),
     ("word%d " * 300) % tuple(range(300)) * 40,
 ]
 
