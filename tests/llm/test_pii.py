@@ -78,3 +78,32 @@ def test_table(spark, model):
     assert rows[3].found.spans == ["document_id:5:16", "document_id:24:35"] and rows[3].found.base_spans == []
     assert rows[4].found.n_ip == 1 and rows[4].found.base_spans == ["ip:120000:120007"]
     assert pii.find(docs.limit(0), model=model).count() == 0
+
+
+def test_every_labelled_span_comes_back(model):
+    texts, marks = pii._labelled(pii.LABELLED)
+    longest = 0
+    for text, labels in zip(texts, marks):
+        at = [m.span() for m in re.finditer(rb"\S+", text)]
+        want = []
+        for (a, b), x in zip(at, labels):
+            if x % 2:
+                want.append([list(pii.ADDED.values())[(x - 1) // 2], a, b, 1])
+            elif x:
+                want[-1][2:] = [b, want[-1][3] + 1]
+        got = pii.added_spans(model, np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        assert [(k, a, b) for _, k, a, b in got] == [(k, a, a + len(text[a:b].rstrip(b".,"))) for k, a, b, _ in want], text
+        longest = max([longest, *(n for *_, n in want)])
+    assert longest == 7
+
+
+def test_long_spans_and_repeated_words(model):
+    def found(text):
+        raw = text.encode()
+        return [(k, raw[a:b].decode()) for _, k, a, b in pii.added_spans(model, np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))]
+
+    for mail in ("bob.smith at mail dot example dot com", "bob.smith at mail dot example dot example dot com"):
+        assert ("masked_email", mail) in found(f"email {mail} today")
+    name = "Dr. Anna Maria Kessler Stone Weber Hale Lopez Reed"
+    assert ("name", name) in found(f"The report was sent by {name} on Monday.")
+    assert not found("Onou " * 40) and not found("at " * 40)

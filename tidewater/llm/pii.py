@@ -16,6 +16,9 @@ Most lines can't hold a span.  Spans gain over unlabelled tokens at most what
 their first and further tokens and transitions can add; a line where the sum of
 these bounds isn't positive decodes to no span, so it need not be decoded.
 
+A span may have any number of tokens.  One word three times or more in a row is
+no part of a name or masked address; what stands before and after it is kept.
+
 Spans are in code points.  Added spans that touch a base span are dropped.  A
 null or empty text has no spans.
 """
@@ -41,8 +44,6 @@ ADDED = {"name": "name", "phone": "national_phone", "id": "document_id", "mail":
 LABELS = ["O", *(f"{p}-{k}" for k in ADDED for p in "BI")]
 #: Longer lines are cut into sequences of so many tokens.
 SEQUENCE = 512
-#: What goes on for more tokens is no span.
-LONGEST = 6
 DECAY = 0.05
 STEPS = 150
 
@@ -327,23 +328,27 @@ def added_spans(model: Field, raw: np.ndarray, at: np.ndarray) -> list[tuple[int
     sizes = sizes[live]
     at_token = np.repeat(first[live] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
     labels = model.viterbi(scores[at_token], sizes)
-    out: list[tuple[int, str, int, int, int]] = []
+    out: list[tuple[int, str, int, int]] = []
     heads = np.zeros(len(labels), dtype=bool)
     heads[np.cumsum(sizes) - sizes] = True
+    same = word[1:] == word[:-1]
+    repeats = np.zeros(len(word), dtype=bool)  # tokens of one word three times or more in a row
+    for shift in range(3):
+        repeats[shift : len(word) - 2 + shift] |= same[1:] & same[:-1]
     kinds = list(ADDED.values())
     open_kind = -1
     for i in np.flatnonzero(labels).tolist():
         label, token = int(labels[i]), int(at_token[i])
         kind = (label - 1) // 2
+        if kinds[kind] in ("name", "masked_email") and repeats[token]:
+            continue
         if label % 2 == 0 and open_kind == kind and last == i - 1 and not heads[i]:  # noqa: F821
-            out[-1] = (*out[-1][:3], int(ends[token]), out[-1][4] + 1)
+            out[-1] = (*out[-1][:3], int(ends[token]))
         else:
-            out.append((int(np.searchsorted(at, starts[token], side="right")) - 1, kinds[kind], int(starts[token]), int(ends[token]), 1))
+            out.append((int(np.searchsorted(at, starts[token], side="right")) - 1, kinds[kind], int(starts[token]), int(ends[token])))
         open_kind, last = kind, i
     trimmed = []
-    for text, kind, a, b, n in out:
-        if n > LONGEST:
-            continue
+    for text, kind, a, b in out:
         while a < b and raw[a] in _OPENS and not (kind == "national_phone" and raw[a] == 40):
             a += 1
         while a < b and raw[b - 1] in _CLOSES:
