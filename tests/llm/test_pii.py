@@ -107,3 +107,34 @@ def test_long_spans_and_repeated_words(model):
     name = "Dr. Anna Maria Kessler Stone Weber Hale Lopez Reed"
     assert ("name", name) in found(f"The report was sent by {name} on Monday.")
     assert not found("Onou " * 40) and not found("at " * 40)
+
+
+def test_blocks_equal_one_piece(model, monkeypatch):
+    rng = np.random.default_rng(4)
+    sizes = np.array([1, 4, 5, 17, 8, 40, 3, 12, 9])
+    for spread in (1, 3, 9):
+        scores = (rng.standard_normal((int(sizes.sum()), len(pii.LABELS))) * spread).astype(np.float32)
+        whole = model.viterbi(scores, sizes)
+        monkeypatch.setattr(pii, "BLOCK", 4, raising=False)
+        assert np.array_equal(model.viterbi(scores, sizes), whole)
+        monkeypatch.undo()
+
+
+@pytest.mark.parametrize("text, want", [("and then they went by Call me at 212-555-0147 tomorrow.", "212-555-0147"), ("rain SSN: 123-45-6789 is on file.", "123-45-6789"), ("it fell Contact Jane Doe for further details", "Jane Doe")])
+def test_place_in_a_long_line_does_not_matter(model, text, want):
+    def found(text):
+        raw = text.encode()
+        return [raw[a:b].decode() for _, _, a, b in pii.added_spans(model, np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))]
+
+    assert want in found(text)
+    lead = "the river ran past the old mill and rain fell on it ".split() * 100
+    for n in range(500, 520):
+        assert found(" ".join([*lead[:n], text])) == [want], n
+
+
+def test_bound_of_first_tokens(model):
+    scores = np.zeros((1, len(pii.LABELS)), np.float32)
+    for k in range(1, len(pii.LABELS), 2):
+        scores[:] = -50
+        scores[0, k], scores[0, 0] = 0.01, 0
+        assert model.viterbi(scores, np.array([1]))[0] == k and model.may_have_spans(scores, np.array([0]))[0]

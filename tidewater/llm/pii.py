@@ -6,11 +6,13 @@ document numbers and masked mail addresses, which only their surroundings give
 away.
 
 The model is a linear-chain conditional random field.  A token is a run of
-anything but white space, a sequence is a line or ``SEQUENCE`` tokens of a longer one.  The features of a token are
+anything but white space, a sequence is a whole line.  The features of a token are
 its word shape (letters' cases and digits), the shapes of its neighbours, and
 the lower-cased words here and before it where the labelled table has them.
 Training maximises the likelihood of the labelled table, with a little decay;
-decoding is Viterbi in numpy, over many lines at once.
+decoding is Viterbi in numpy, over many lines at once.  Lines of more than
+``BLOCK`` tokens are decoded in blocks that run side by side; the state is
+carried across, so the labels are those of the line in one piece.
 
 Most lines can't hold a span.  Spans gain over unlabelled tokens at most what
 their first and further tokens and transitions can add; a line where the sum of
@@ -42,8 +44,8 @@ BASE_KINDS = ["email", "ip", "card", "phone"]
 #: Kinds that the model adds, by their name in the labelled table.
 ADDED = {"name": "name", "phone": "national_phone", "id": "document_id", "mail": "masked_email"}
 LABELS = ["O", *(f"{p}-{k}" for k in ADDED for p in "BI")]
-#: Longer lines are cut into sequences of so many tokens.
-SEQUENCE = 512
+#: Tokens of a line that are decoded one after the other.
+BLOCK = 512
 DECAY = 0.05
 STEPS = 150
 
@@ -160,10 +162,7 @@ class Features:
 def _lines(raw: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Index of the first token of each sequence."""
     begins = np.searchsorted(starts, np.unique(np.concatenate([at[:-1], np.flatnonzero(raw == 10) + 1])))
-    first = np.unique(begins[begins < len(starts)])
-    parts = -(-np.diff(np.append(first, len(starts))) // SEQUENCE)
-    within = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
-    return np.repeat(first, parts) + within * SEQUENCE
+    return np.unique(begins[begins < len(starts)])
 
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -186,7 +185,9 @@ class Field:
         self.moves[1:, 2::2][kind[:, None] != kind[None, 1::2]] = -_NEVER
         none = self.moves[0, 0]
         begin, go_on = range(1, len(LABELS), 2), range(2, len(LABELS), 2)
-        self.enter = np.array([self.moves[:, b].max() - none + max(0.0, self.moves[[b, i], 0].max() - none) for b, i in zip(begin, go_on, strict=True)])
+        leave = np.array([max(0.0, self.moves[[b, i], 0].max() - none) for b, i in zip(begin, go_on, strict=True)])
+        self.enter = np.array([self.moves[:, b].max() - none for b in begin]) + leave
+        self.enter_first = leave  # nothing leads to a sequence's first token
         self.stay = np.array([self.moves[[b, i], i].max() - none for b, i in zip(begin, go_on, strict=True)])
 
     def emissions(self, numbers: list[np.ndarray]) -> np.ndarray:
@@ -196,8 +197,9 @@ class Field:
         """Sequences (by their first tokens) where some span of one kind could gain: its first token and the best stretch after it."""
         own = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(scores))))
         out = np.zeros(len(first), dtype=bool)
-        for k, (enter, stay) in enumerate(zip(self.enter, self.stay, strict=True)):
+        for k, (enter, enter_first, stay) in enumerate(zip(self.enter, self.enter_first, self.stay, strict=True)):
             begin = scores[:, 2 * k + 1] - scores[:, 0] + enter
+            begin[first] += enter_first - enter
             inner = scores[:, 2 * k + 2] - scores[:, 0] + stay
             total = np.cumsum(inner, dtype=np.float64)
             apart = (np.abs(total).max() * 2 + 1) * own  # keeps each sequence above all later ones
@@ -205,24 +207,55 @@ class Field:
             out |= np.maximum.reduceat(begin + np.maximum(best - total, 0), first) > -1e-3
         return out
 
+    def _entries(self, scores: np.ndarray, begin: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Best scores by label just before each block, up to a constant; blocks stand in order, ``start`` marks the first of each sequence."""
+        entry = np.zeros((len(begin), len(LABELS)), dtype=scores.dtype)
+        full = np.flatnonzero(~np.append(start[1:], True))  # those that another one follows have all BLOCK tokens
+        if not len(full):
+            return entry
+        # best score of a block from the label before it to its last label; before a sequence any label stands for none
+        through = np.where(start[full, None, None], np.zeros_like(self.moves), self.moves) + scores[begin[full], None, :]
+        through[:, :, 2::2] -= np.where(start[full], _NEVER, 0).astype(scores.dtype)[:, None, None]
+        for t in range(1, BLOCK):
+            through = (through[..., None] + self.moves).max(axis=2) + scores[begin[full] + t, None, :]
+        for b, step in zip(full.tolist(), through, strict=True):
+            entry[b + 1] = (entry[b, :, None] + step).max(axis=0)
+            entry[b + 1] -= entry[b + 1].max()
+        return entry
+
     def viterbi(self, scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Best labels of sequences that stand one after the other; all go step by step together."""
+        """Best labels of sequences that stand one after the other; all blocks go step by step together."""
         out = np.zeros(len(scores), dtype=np.int8)
-        order = np.argsort(-sizes, kind="stable")
-        begin = (np.cumsum(sizes) - sizes)[order]
-        longest = sizes[order]
-        if not len(longest):
+        if not len(sizes):
             return out
-        best = scores[begin].copy()
-        best[:, 2::2] -= _NEVER
+        parts = -(-sizes // BLOCK)
+        within = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+        heads = np.repeat(np.cumsum(sizes) - sizes, parts) + within * BLOCK
+        lengths = np.minimum(np.repeat(sizes, parts) - within * BLOCK, BLOCK)
+        start = within == 0
+        entry = self._entries(scores, heads, start)
+
+        order = np.argsort(-lengths, kind="stable")
+        begin, longest = heads[order], lengths[order]
         back = np.zeros((len(scores), len(LABELS)), dtype=np.int8)
+        every = entry[order][:, :, None] + self.moves
+        back[begin] = every.argmax(axis=1)
+        best = np.where(start[order, None], np.where(np.arange(len(LABELS)) % 2, 0, -_NEVER), every.max(axis=1)).astype(scores.dtype)
+        best[start[order], 0] = 0
+        best += scores[begin]
+        origin = back[begin]  # label before the block, by the label that it has come to
         for t in range(1, int(longest[0])):
-            n = int(np.searchsorted(-longest, -t, side="left"))  # sequences with a token t
+            n = int(np.searchsorted(-longest, -t, side="left"))  # blocks with a token t
             every = best[:n, :, None] + self.moves
             at = begin[:n] + t
             back[at] = every.argmax(axis=1)
             best[:n] = every.max(axis=1) + scores[at]
+            origin[:n] = np.take_along_axis(origin[:n], back[at], axis=1)
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
         state = best.argmax(axis=1)
+        for b in np.flatnonzero(~start)[::-1].tolist():
+            state[place[b - 1]] = origin[place[b], state[place[b]]]
         for t in range(int(longest[0]) - 1, -1, -1):
             n = int(np.searchsorted(-longest, -t, side="left"))
             at = begin[:n] + t
