@@ -69,6 +69,12 @@ STATEMENTS: dict[str, str] = {
     "ep_topk": "SELECT p_brand, p_partkey, value FROM (SELECT p_brand, p_partkey, value, row_number() OVER (PARTITION BY p_brand ORDER BY value DESC, p_partkey) AS r FROM (SELECT p_brand, p_partkey, round(sum(l_quantity * (1 - l_discount)), 4) AS value FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY p_brand, p_partkey) y) x WHERE r <= 2",
     "candidate_compare": "SELECT o_custkey, o_orderkey, round(o_totalprice - lead(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey), 4) AS margin, CAST(dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS BIGINT) AS place FROM orders",
     "cross_source_conflict": "SELECT a.user_id, a.event_type AS type_a, b.event_type AS type_b, CAST(count(*) AS BIGINT) AS n FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id + 1 = b.event_id AND a.event_type < b.event_type AND a.value <> b.value GROUP BY a.user_id, a.event_type, b.event_type",
+    # pairs of events of one user with differing types and values, counted without making them: all pairs of two types less those of equal values
+    "source_contradictions": """WITH c AS (SELECT user_id, event_type, value, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY user_id, event_type, value),
+        t AS (SELECT user_id, event_type, sum(n) AS n FROM c GROUP BY user_id, event_type),
+        p AS (SELECT a.user_id, a.event_type AS type_a, b.event_type AS type_b, a.n * b.n AS n FROM t a JOIN t b ON a.user_id = b.user_id AND a.event_type < b.event_type),
+        s AS (SELECT a.user_id, a.event_type AS type_a, b.event_type AS type_b, sum(a.n * b.n) AS n FROM c a JOIN c b ON a.user_id = b.user_id AND a.value = b.value AND a.event_type < b.event_type GROUP BY a.user_id, a.event_type, b.event_type)
+        SELECT p.user_id, p.type_a, p.type_b, CAST(p.n - coalesce(s.n, 0) AS BIGINT) AS n FROM p LEFT JOIN s ON p.user_id = s.user_id AND p.type_a = s.type_a AND p.type_b = s.type_b WHERE p.n > coalesce(s.n, 0)""",
     "bruteforce_triples": """SELECT a, b, c, total FROM (SELECT x.p_partkey AS a, y.p_partkey AS b, z.p_partkey AS c, round(x.p_retailprice + y.p_retailprice + z.p_retailprice, 4) AS total FROM part x JOIN part y ON x.p_partkey < y.p_partkey JOIN part z ON y.p_partkey < z.p_partkey
         WHERE x.p_partkey <= 30 AND y.p_partkey <= 30 AND z.p_partkey <= 30 AND x.p_brand <> y.p_brand AND y.p_brand <> z.p_brand) t WHERE total <= 2750 ORDER BY total DESC, a, b, c LIMIT 5""",
     "slice_report": "SELECT event_type, CAST(user_id % 10 AS INT) AS slice, CAST(count(*) AS BIGINT) AS n, round(avg(value), 6) AS mean FROM events GROUP BY GROUPING SETS ((event_type, CAST(user_id % 10 AS INT)), (event_type), ())",
