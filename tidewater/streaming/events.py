@@ -1,18 +1,21 @@
 """Streams over the event table: windows, sessions, static joins, run to completion and read back.
 
 Each run reads what is there (``availableNow``) and writes its complete result
-into a memory table; event times are cast to instants, as watermarks need them.
+as Parquet into the shared folder, where its checkpoint is too; the rows don't
+pass the driver.  The mode is complete, so an event that comes behind the
+watermark counts like any other; session windows drop such events even in
+this mode, so sessions have no watermark.  Event times are cast to instants, as
+watermarks need them.
 """
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LIMIT_S = 120
-
 
 def source(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
@@ -22,16 +25,37 @@ def source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.option("maxFilesPerTrigger", 16).parquet(f"{sf_dir}/events.parqu[e]t").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The session's own (``spark.checkpoint.dir``); only one without any gets a temporary folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def complete(result: DataFrame) -> DataFrame:
     """The result of a stream after all that there is to read."""
-    name = f"stream_{uuid.uuid4().hex}"
-    query = result.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    spark = result.sparkSession
+    folder = f"{_shared_folder(spark)}/stream_{uuid.uuid4().hex}"
+    whole: list[str] = []  # each batch writes the result anew; only the last one's stays
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(path := f"{folder}/batch-{batch}")
+        for old in whole:
+            if old != path:
+                _delete(spark, old)
+        whole[:] = [path]
+
+    query = result.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     try:
-        if not query.awaitTermination(LIMIT_S):
-            raise TimeoutError(f"the stream did not end in {LIMIT_S} s")
+        query.awaitTermination()
     finally:
         query.stop()
-    return result.sparkSession.table(name)
+    return spark.read.schema(result.schema).parquet(whole[0]) if whole else spark.createDataFrame([], result.schema)
 
 
 def _window(bounds: str = "window") -> list:
@@ -49,7 +73,7 @@ def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = source(spark, sf_dir).withWatermark("ts", "1 hour").groupBy(F.session_window("ts", "6 hours"), "user_id").agg(F.count("*").alias("n"))
+    counted = source(spark, sf_dir).groupBy(F.session_window("ts", "6 hours"), "user_id").agg(F.count("*").alias("n"))
     return complete(counted).select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("begin"), "n")
 
 
