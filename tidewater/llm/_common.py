@@ -20,11 +20,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that all executors share.
 
-    It is the session's own (``spark.checkpoint.dir``); only a session without
-    any, such as a bare test session, gets a temporary one.
+    It is the session's own (``spark.checkpoint.dir``); only a local session
+    without any, such as a bare test session, gets a temporary one.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
@@ -94,10 +96,15 @@ def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], dict | None], sche
 
 
 def append_struct(df: DataFrame, rows: Callable[[pa.RecordBatch], list[dict]], inputs: list[str], schema: str, name: str) -> DataFrame:
-    """``df`` and one struct column ``name`` made by ``rows`` from a batch of ``inputs``; no shuffle."""
+    """``df`` and one struct column made by ``rows`` from a batch of ``inputs``; no shuffle.
+
+    The column is the last one.  It is called ``name``, or, if ``df`` has a
+    column of that name, ``name`` with underscores before it (``free_name``).
+    """
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
+    name = free_name(df, name)
     kind = _parse_datatype_string(schema)
     arrow = to_arrow_type(kind)
     whole = StructType([*df.schema.fields, StructField(name, kind)])

@@ -139,6 +139,9 @@ def automaton():
     import ahocorasick
 
     out = ahocorasick.Automaton()
+    for phrase in [*BASE, *NOTICES, TAG]:  # texts without an anchor are not scanned
+        if not set(phrase.split()) & set(ANCHORS):
+            raise ValueError(f"no anchor in {phrase!r}")
     for phrase in [*BASE, *NOTICES, TAG]:
         out.add_word(f" {phrase} ", phrase)
     out.make_automaton()
@@ -210,5 +213,10 @@ def batch(column: pa.Array) -> list[dict]:
 
 
 def scan(docs: DataFrame, name: str = "licenses", text_col: str = "text") -> DataFrame:
-    """``docs`` and a struct column ``name`` of type ``FOUND``; one pass, no shuffle."""
+    """``docs`` and, as its last column, a struct of type ``FOUND``; one pass, no shuffle.
+
+    Each row is judged by its own text, so repeated rows have equal results and a
+    very long text is one row's work.  If ``docs`` has a column ``name``, it
+    stays and the new one gets underscores before its name.
+    """
     return common.append_struct(docs, lambda b: batch(b.column(0).cast(pa.string())), [text_col], FOUND, name)

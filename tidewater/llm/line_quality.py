@@ -81,7 +81,13 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 
 def judge(docs: DataFrame, name: str = "quality", text_col: str = "text", max_lost: float = MAX_LOST) -> DataFrame:
-    """``docs`` and a struct column ``name`` of ``MEASURES``; one pass, no shuffle."""
+    """``docs`` and, as its last column, a struct of ``MEASURES``; one pass, no shuffle.
+
+    Each row is judged by its own text, so repeated rows have equal results and a
+    very long text is one row's work.  If ``docs`` has a column ``name``, it
+    stays and the new one gets underscores before its name.
+    """
+    name = common.free_name(docs, name)
     held = {k: common.free_name(docs, f"_{k}") for k in ("text", "words", "lines", "hashes", "grams", "places", "left")}
     text, words, lines, hashes, grams, places, left = (F.col(c) for c in held.values())
     out = docs.withColumn(held["text"], F.coalesce(F.col(text_col).cast("string"), F.lit("")))
