@@ -138,3 +138,9 @@ def test_bound_of_first_tokens(model):
         scores[:] = -50
         scores[0, k], scores[0, 0] = 0.01, 0
         assert model.viterbi(scores, np.array([1]))[0] == k and model.may_have_spans(scores, np.array([0]))[0]
+
+
+def test_padded_numbers_of_an_address_count():
+    assert pii.base_spans("0" * 30 + "1.1.1.1") == [("ip", 0, 37)]
+    assert pii.base_spans("0" * 30 + ".0.0." + "0" * 25) == [("ip", 0, 60)]
+    assert pii.base_spans("1" * 30 + ".1.1.1") == []

@@ -82,7 +82,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the fixed patterns, by kind and start."""
     out = [("email", a, b) for a, b in _emails(text)] if "@" in text else []
     for m in _IP.finditer(text):
-        if all(len(p) < 20 and int(p) <= 255 or not p.strip("0") for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (part.lstrip("0") for part in m[0].split("."))):
             out.append(("ip", m.start(), m.end()))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -428,6 +428,12 @@ def batch(column: pa.Array, model: Field) -> list[dict]:
 
 
 def find(docs: DataFrame, name: str = "pii", text_col: str = "text", model: Field | None = None) -> DataFrame:
-    """``docs`` and a struct column ``name`` of type ``FOUND``; one pass, no shuffle."""
+    """``docs`` and, as its last column, a struct of type ``FOUND``; one pass, no shuffle.
+
+    Each row is judged by its own text, so repeated rows have equal results and a
+    very long text is one row's work.  A null or empty text has no spans.  If
+    ``docs`` has a column ``name``, it stays and the new one gets underscores
+    before its name.
+    """
     model = model or train()
     return common.append_struct(docs, lambda b: batch(b.column(0).cast(pa.string()), model), [text_col], FOUND, name)
