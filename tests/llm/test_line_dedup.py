@@ -71,3 +71,12 @@ def test_texts_after_the_cut(spark):
 def test_empty_table(spark):
     assert ld.dedupe_lines(spark.createDataFrame([], "doc_id long, text string, n int")).columns == ["doc_id", "text", "n"]
     assert ld.dedupe_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_colliding_polynomials_are_not_equal_lines(spark):
+    """Two lines of words in Thue-Morse order have one polynomial hash modulo 2**64, whatever the base."""
+    order = [bin(i).count("1") & 1 for i in range(4096)]
+    first, second = (" ".join("ab"[x ^ flip] for x in order) for flip in (0, 1))
+    docs = spark.createDataFrame([(1, first), (2, second), (3, first)], "doc_id long, text string")
+    got = ld.dedupe_lines(docs, drop_emptied=False).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, first), (2, second), (3, "")]

@@ -15,18 +15,24 @@ line.  Every line of a repeated run is deleted, however far the run reaches.
    begin or end at each line are compared as wholes with the earliest equal
    window, so a chain of windows follows a run in both directions to its ends,
    against all earlier places at once: any run of enough words is the union of
-   its windows.  No pairs of positions are listed.
+   its windows.  Line by line against one earlier place, a run that goes on in
+   another one would be cut short, and against each of them all pairs of
+   positions would be listed; the chain of windows does neither.
 4. Lines in a window that has an earlier equal one, which it does not overlap,
    go.
 
-Lines are compared by 64-bit hashes, windows by two of them.  Null texts stay
-null.  Rows that share an id count as one place, so of equal rows with one id
-none loses anything to the other.  A document that loses all its words may be
+Lines are compared by 128-bit BLAKE2 digests, windows by the digest of their
+lines' digests, so nothing is deleted for a chance or made collision.  Null
+texts stay null.  Rows that share an id count as one place, so of equal rows
+with one id none loses anything to the other.  Columns of any name are kept; a
+text of any length is one row's work.  A document that loses all its words may be
 dropped (``dedupe_lines``); other columns are kept as they are.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,15 +43,12 @@ from . import words
 
 MIN_WORDS = 50
 _SOLID = words.byte_table(lambda b: b != 32 and not 9 <= b <= 13, lower=False)
-_OTHER_BASE = 0xD1342543DE82EF95
 
 
-def _combine(values: np.ndarray, starts: np.ndarray, stops: np.ndarray, base: int) -> np.ndarray:
-    """A hash of values[start:stop] in their order."""
-    n = len(values)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(values * words.powers(base, n), out=total[1:])
-    return (total[stops] - total[starts]) * words.powers(pow(base, -1, 1 << 64), n + 1)[starts]
+def _digests(data: memoryview, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """128-bit digests of data[start:stop], as two longs each."""
+    found = b"".join([blake2b(data[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), stops.tolist(), strict=True)])
+    return np.frombuffer(found, dtype=np.int64).reshape(-1, 2)
 
 
 def _list(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -53,10 +56,10 @@ def _list(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 
 def lines_of(column: pa.Array) -> dict[str, pa.Array]:
-    """Of each text its lines with words: their numbers, hashes and counts of words."""
+    """Of each text its lines with words: their numbers, both halves of their digests, and counts of words."""
     data, offsets = common.raw_texts(column)
     whole = np.frombuffer(data, dtype=np.uint8)
-    numbers, hashed, counts, sizes = [], [], [], []
+    numbers, hashed, more, counts, sizes = [], [], [], [], []
     for i, j in common.chunks(offsets):
         raw = whole[offsets[i] : offsets[j]]
         at = offsets[i : j + 1] - offsets[i]
@@ -71,13 +74,15 @@ def lines_of(column: pa.Array) -> dict[str, pa.Array]:
         text = np.searchsorted(at, begins, side="right") - 1
         order = np.arange(len(begins)) - np.searchsorted(begins, at[:-1])[text]
         real = last > first
-        hashed.append(words.hashes(raw.astype(np.uint64) + np.uint64(1), starts[first[real]], ends[last[real] - 1]).view(np.int64))
+        digests = _digests(data[offsets[i] : offsets[j]], starts[first[real]], ends[last[real] - 1])
+        hashed.append(digests[:, 0])
+        more.append(digests[:, 1])
         numbers.append(order[real].astype(np.int32))
         counts.append((last - first)[real].astype(np.int32))
         sizes.append(np.bincount(text[real], minlength=j - i))
     join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
     ends = np.append(0, np.cumsum(join(sizes, np.int64))).astype(np.int64)
-    return {"number": _list(join(numbers, np.int32), ends), "hash": _list(join(hashed, np.int64), ends), "words": _list(join(counts, np.int32), ends)}
+    return {"number": _list(join(numbers, np.int32), ends), "hash": _list(join(hashed, np.int64), ends), "more": _list(join(more, np.int64), ends), "words": _list(join(counts, np.int32), ends)}
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -137,15 +142,15 @@ def _matched(batch: pa.RecordBatch, min_words: int) -> dict:
     here = joined[minima(hashed, first, last)]
     first, last = first[here], last[here]
     text = np.searchsorted(ends, first, side="right") - 1
-    value = hashed.view(np.uint64)
-    sized = (value ^ (value >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) + counts.astype(np.uint64)
+    lines = np.stack([hashed, _flat(batch.column("more"))[0]], axis=1)
+    value = _digests(memoryview(np.ascontiguousarray(lines)).cast("B"), first * 16, (last + 1) * 16)
     # lines are told by their number in the text
     number = _flat(batch.column("number"))[0]
     return {
         "id": batch.column("id").take(pa.array(text)),
         "key": batch.column("key").take(pa.array(text)),
-        "a": _combine(value, first, last + 1, words.BASE).view(np.int64),
-        "b": _combine(sized, first, last + 1, _OTHER_BASE).view(np.int64),
+        "a": np.ascontiguousarray(value[:, 0]),
+        "b": np.ascontiguousarray(value[:, 1]),
         "first": number[first],
         "last": number[last],
     }
@@ -162,7 +167,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
         common.map_arrow(
             named,
             lambda batch: {"id": batch.column(0), "key": batch.column(1)} | lines_of(batch.column(2)),
-            "id long, key long, number array<int>, hash array<long>, words array<int>",
+            "id long, key long, number array<int>, hash array<long>, more array<long>, words array<int>",
         ).filter(F.size("hash") > 0)
     )
     prints = common.durable(common.map_arrow(lines.select(F.struct("id", "key").alias("key"), "hash", "words"), lambda batch: _selected(batch, min_words), "key struct<id:bigint,key:bigint>, value long, place int"))
@@ -170,7 +175,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     places = common.join_counted(prints, often, ["value"]).groupBy("key").agg(F.collect_set("place").alias("places"))
     round_them = lines.join(places.select(F.col("key.id").alias("_id"), F.col("key.key").alias("_key"), "places"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
     found = common.durable(
-        common.map_arrow(round_them.select("id", "key", "number", "hash", "words", "places"), lambda batch: _matched(batch, min_words), "id long, key long, a long, b long, first int, last int")
+        common.map_arrow(round_them.select("id", "key", "number", "hash", "more", "words", "places"), lambda batch: _matched(batch, min_words), "id long, key long, a long, b long, first int, last int")
     )
     earliest = common.durable(found.groupBy("a", "b").agg(F.min(F.struct("id", "first", "last")).alias("least"), F.count("*").alias("n")).filter("n > 1"))
     later = common.join_counted(found, earliest, ["a", "b"]).filter(~F.col("id").eqNullSafe(F.col("least.id")) | (F.col("first") > F.col("least.last")))
@@ -178,10 +183,15 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
 
 
 def marked(docs: DataFrame, name: str = "runs", id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` and an array of ranges (first, last) of the lines to delete, null where nothing goes."""
-    runs = repeated(docs, id_col, text_col, min_words).select(F.col("id").alias("_run_id"), F.col("key").alias("_run_key"), F.col("runs").alias("_runs"))
-    on = docs[id_col].cast("long").eqNullSafe(F.col("_run_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_run_key"))
-    return docs.join(runs.hint("shuffle_hash"), on, "left").select(*[docs[c] for c in docs.columns], F.col("_runs").alias(name))
+    """``docs`` and, last, an array of ranges (first, last) of the lines to delete, null where nothing goes.
+
+    If ``docs`` has a column ``name``, the new one gets underscores before its name.
+    """
+    found = repeated(docs, id_col, text_col, min_words)
+    run_id, run_key, run = (common.free_name(docs, c) for c in ("_run_id", "_run_key", "_runs"))
+    runs = found.select(F.col("id").alias(run_id), F.col("key").alias(run_key), F.col("runs").alias(run))
+    on = docs[id_col].cast("long").eqNullSafe(F.col(run_id)) & (F.xxhash64(docs[text_col].cast("string")) == F.col(run_key))
+    return docs.join(runs.hint("shuffle_hash"), on, "left").select(*[docs[c] for c in docs.columns], F.col(run).alias(common.free_name(docs, name)))
 
 
 def kept_lines(text: F.Column, runs: F.Column) -> F.Column:
