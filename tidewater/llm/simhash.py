@@ -128,16 +128,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``(id, fp, component)``: the smallest id reachable over links, itself included.
 
     One row per row of ``docs``; rows with equal ids count as one node each with
-    their own text, and share whatever component is smaller.
+    their own text, and share whatever component is smaller.  Other columns of
+    ``docs`` are not read, whatever their names.  Fingerprints of many copies
+    and components of many fingerprints are joined where their rows are.
     """
     prints = common.durable(fingerprints(docs, id_col, text_col, shingle_words))
-    classes = common.durable(prints.groupBy("fp").agg(F.min("id").alias("least")))
+    classes = common.durable(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     joined = components(links(classes.select("fp"), radius, segments, hot_entry))
-    labelled = classes.join(joined, classes.fp == joined.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    labelled = common.durable(classes.join(joined, classes.fp == joined.node, "left").select("fp", "least", classes.n.alias("copies"), F.coalesce("root", "fp").alias("root")))
     # least id of each component, then of each fingerprint
-    roots = labelled.groupBy("root").agg(F.min("least").alias("component"))
-    by_print = labelled.join(roots, "root").select("fp", "component")
-    return prints.join(by_print, "fp").select("id", "fp", "component")
+    roots = common.durable(labelled.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("n")))
+    by_print = common.durable(common.join_counted(labelled, roots, ["root"]).select("fp", "component", F.col("copies").alias("n")))
+    return common.join_counted(prints, by_print, ["fp"]).select("id", "fp", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
