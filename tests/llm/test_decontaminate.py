@@ -82,3 +82,30 @@ def test_automaton_knows_all_substrings():
             assert size == max(n for n in range(end + 1) if any(holds(s, text[end - n : end]) for _, s in items))
             for n in range(1, size + 1):
                 assert automaton.items[automaton.suffix(at, n)] == {i for i, s in items if holds(s, text[end - n : end])}
+
+
+def test_frozen_automaton_walks_like_the_growing_one():
+    rng = random.Random(2)
+    for _ in range(60):
+        items = [(i, [rng.randrange(4) for _ in range(rng.randrange(1, 15))]) for i in range(5)]
+        growing = SuffixAutomaton.of(items, 2)
+        frozen = growing.frozen()
+        text = [rng.randrange(-1, 5) for _ in range(40)]
+        assert list(frozen.matches(text)) == list(growing.matches(text))
+        for at, size in frozen.matches(text):
+            for n in range(2, size + 1):
+                assert frozen.items[frozen.suffix(at, n)] == growing.items[growing.suffix(at, n)]
+
+
+def test_many_passes_null_ids_and_clashing_names(spark, monkeypatch):
+    docs, items = fixture(6)
+    monkeypatch.setattr(de, "PASS_BLOCKS", 2)
+    common = " ".join(f"both{i}" for i in range(12))
+    items = [*items, (None, common), (77, common), (None, "alone none of these words is anywhere else in any item at all")]
+    docs = [*docs, (200, f"x {common} y"), (201, items[-1][1] + " end")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("overlap", F.lit("clash")).withColumn("_next", F.lit(1))
+    got = de.overlaps(df, spark.createDataFrame(items, "item_id long, text string"), block_chars=300)
+    assert got.columns == ["doc_id", "text", "overlap", "_next", "_overlap"]
+    want = [(i, n, h, [x for x in found if x != "None"]) for i, n, h, found in slow(docs, items)]
+    assert sorted((r.doc_id, r._overlap.n_words, r._overlap.n_hit, r._overlap["items"]) for r in got.collect()) == sorted(want)
+    assert any(h and not found for _, _, h, found in want)

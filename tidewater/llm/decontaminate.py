@@ -12,16 +12,24 @@ which each is an item's word and each adjacent pair an item's pair (by hash
 tables without false negatives).  Only these go through the automaton, word by
 word, where words are compared themselves.
 
-The items are a bounded table: up to ``block_chars`` characters make one
-automaton that is sent to the tasks, more are taken in blocks of that size, one
-pass over the documents for each block.  Documents are never shuffled.
+Items are taken in blocks of about ``block_chars`` characters.  Each block is
+collected, built and frozen into flat arrays before the next, so the driver holds one
+growing automaton at a time (some 300 bytes a character); up to ``PASS_BLOCKS``
+frozen ones (some 30 bytes a character) are sent to the tasks for one pass over the
+documents, and more take more passes.  Documents are never shuffled.
 
 Null or empty texts have no words; items without words match nothing; repeated
-items count once; other columns of the documents stay as they are.
+items count once; an item without an id hits words, but is neither named nor
+counted.  Repeated documents have equal results, a very long text is one row's
+work, and other columns of the documents stay as they are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import cached_property
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +40,8 @@ from . import words
 from .suffix_automaton import SuffixAutomaton
 
 WINDOW = 10
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 1_000_000
+PASS_BLOCKS = 16
 #: Documents with a larger share of hit words are removed whole.
 MAX_COVERAGE = 0.5
 
@@ -43,7 +52,7 @@ FOUND = "n_words long, n_hit long, items array<string>, starts array<long>, ends
 class Matcher:
     """Finds windows of items in texts."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW) -> None:
         self.window = window
         table = words.ALNUM.tobytes()
         split = [(item, [w for w in (text or "").encode().translate(table).split(b"\0") if w]) for item, text in items]
@@ -51,13 +60,13 @@ class Matcher:
         self.vocabulary: dict[bytes, int] = {}
         sequences = [(item, [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in ws]) for item, ws in split]
         self.least = min((min(window, len(s)) for _, s in sequences), default=window)
-        self.automaton = SuffixAutomaton.of(sequences, self.least)
+        self.automaton = SuffixAutomaton.of(sequences, self.least).frozen()
         self.short: dict[tuple[int, int], set[str]] = {}
         for item, sequence in sequences:
             if len(sequence) < window:
                 at = 0
                 for symbol in sequence:
-                    at = self.automaton.next[at][symbol]
+                    at = self.automaton.step(at, symbol)
                 self.short.setdefault((at, len(sequence)), set()).add(item)
         self.sizes = sorted({size for _, size in self.short})
         self._filters(split)
@@ -68,12 +77,21 @@ class Matcher:
         starts, ends = words.spans(folded, np.array([0, len(folded)]))
         hashed = words.hashes(folded, starts, ends)
         self.bits = np.uint64(64 - min(24, max(17, len(hashed).bit_length() + 5)))
-        self.known = np.zeros(1 << (64 - int(self.bits)), dtype=bool)
-        self.known[hashed >> self.bits] = True
-        self.pairs = np.zeros_like(self.known)
+        known = np.zeros(1 << (64 - int(self.bits)), dtype=bool)
+        known[hashed >> self.bits] = True
+        pairs = np.zeros_like(known)
         if len(hashed) > 1:
             inner = np.concatenate([np.r_[np.ones(len(ws) - 1, bool), False] for _, ws in split])[:-1]
-            self.pairs[self._pair(hashed)[inner]] = True
+            pairs[self._pair(hashed)[inner]] = True
+        self.packed = np.packbits(known), np.packbits(pairs)  # tasks unpack them
+
+    @cached_property
+    def known(self) -> np.ndarray:
+        return np.unpackbits(self.packed[0]).view(bool)
+
+    @cached_property
+    def pairs(self) -> np.ndarray:
+        return np.unpackbits(self.packed[1]).view(bool)
 
     def _pair(self, hashed: np.ndarray) -> np.ndarray:
         return (hashed[:-1] * _MIX + hashed[1:]) * _MIX >> self.bits
@@ -129,7 +147,7 @@ class Matcher:
                 if k in found:
                     merged = _union((x, y) for x, y, _ in found[k])
                     row["n_hit"] = sum(y - x for x, y in merged)
-                    row["items"] = sorted(set().union(*(items for _, _, items in found[k])))
+                    row["items"] = sorted(set().union(*(items for _, _, items in found[k])) - {None})
                     points = np.cumsum((raw[at[k] : at[k + 1]] & 0xC0) != 0x80)  # code points up to and with each byte
                     row["starts"] = [int(points[starts[x] - at[k]]) - 1 for x, _ in merged]
                     row["ends"] = [int(points[ends[y - 1] - 1 - at[k]]) for _, y in merged]
@@ -147,40 +165,47 @@ def _union(ranges) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def matchers(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> list[Matcher]:
-    """A matcher for each block of items, each of about ``block_chars`` characters at most."""
+def matchers(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> Iterator[Matcher]:
+    """A matcher for each block of items, each of about ``block_chars`` characters; one block at a time is collected."""
     own = items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).distinct()
     chars = own.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = -(-chars // block_chars) or 1
     place = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
-    return [Matcher([(r.item, r.text) for r in own.filter(place == b).collect()], window) for b in range(blocks)]
+    for b in range(blocks):
+        yield Matcher([(r.item, r.text) for r in own.filter(place == b).collect()], window)
 
 
 def overlaps(docs: DataFrame, items: DataFrame, name: str = "overlap", text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` and a struct column ``name`` of type ``FOUND``: hits, items and spans to remove."""
-    for k, matcher in enumerate(matchers(items, window=window, block_chars=block_chars)):
-        before = name if k else None
-
-        def rows(batch: pa.RecordBatch, matcher=matcher, before=before) -> list[dict]:
-            found = matcher.batch(batch.column(0).cast(pa.string()))
-            if before:
-                texts = batch.column(0).to_pylist()
-                found = [_join(x, y, text) for x, y, text in zip(batch.column(1).to_pylist(), found, texts, strict=True)]
-            return found
-
-        made = common.append_struct(docs, rows, [text_col, *([before] if before else [])], FOUND, common.free_name(docs, "_next") if before else name)
-        docs = made if not before else made.drop(name).withColumnRenamed(made.columns[-1], name)
+    """``docs`` and, last, a struct column of type ``FOUND``: hits, items and spans to remove.
+
+    It is called ``name``; if ``docs`` has a column of that name, the new one gets underscores before its name.
+    """
+    name = common.free_name(docs, name)
+    found, before = matchers(items, window=window, block_chars=block_chars), None
+    while block := list(islice(found, PASS_BLOCKS)):
+
+        def rows(batch: pa.RecordBatch, block=block, before=before) -> list[dict]:
+            texts = batch.column(0).cast(pa.string())
+            parts = [batch.column(1).to_pylist()] if before else []
+            parts += [matcher.batch(texts) for matcher in block]
+            return parts[0] if len(parts) == 1 else [_joined(own, text) for own, text in zip(zip(*parts, strict=True), texts, strict=True)]
+
+        held = common.free_name(docs, "_next")
+        docs = common.append_struct(common.durable(docs) if before else docs, rows, [text_col, *([before] if before else [])], FOUND, held)
+        docs = docs.drop(*([before] if before else [])).withColumnRenamed(held, name)
+        before = name
     return docs
 
 
-def _join(x: dict, y: dict, text: str | None) -> dict:
-    """What two blocks of items found in one text."""
-    if not x["items"] or not y["items"]:
-        return x if x["items"] else y
-    spans = _union([*zip(x["starts"], x["ends"], strict=True), *zip(y["starts"], y["ends"], strict=True)])
-    table = words.ALNUM.tobytes()
-    hit = sum(len([w for w in text[a:b].encode().translate(table).split(b"\0") if w]) for a, b in spans)
-    return {"n_words": x["n_words"], "n_hit": hit, "items": sorted({*x["items"], *y["items"]}), "starts": [a for a, _ in spans], "ends": [b for _, b in spans]}
+def _joined(parts: tuple[dict, ...], text: pa.Scalar) -> dict:
+    """What several blocks of items found in one text."""
+    some = [x for x in parts if x["starts"]]
+    if len(some) < 2:
+        return some[0] if some else parts[0]
+    spans = _union(s for x in some for s in zip(x["starts"], x["ends"], strict=True))
+    table, whole = words.ALNUM.tobytes(), text.as_py()
+    hit = sum(len([w for w in whole[a:b].encode().translate(table).split(b"\0") if w]) for a, b in spans)
+    return {"n_words": parts[0]["n_words"], "n_hit": hit, "items": sorted(set().union(*(x["items"] for x in some))), "starts": [a for a, _ in spans], "ends": [b for _, b in spans]}
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW, max_coverage: float = MAX_COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:

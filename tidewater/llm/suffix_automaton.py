@@ -2,10 +2,35 @@
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterable, Sequence
 
 
-class SuffixAutomaton:
+class _Walk:
+    """Matching by ``length``, ``link`` and ``step(state, symbol)``, which is -1 without a transition."""
+
+    def matches(self, sequence: Sequence[int]) -> Iterable[tuple[int, int]]:
+        """For each position, the state and length of the longest match that ends there."""
+        at, size = 0, 0
+        for symbol in sequence:
+            there = self.step(at, symbol)
+            while at and there < 0:
+                at = self.link[at]
+                size = self.length[at]
+                there = self.step(at, symbol)
+            if there >= 0:
+                at, size = there, size + 1
+            yield at, size
+
+    def suffix(self, at: int, size: int) -> int:
+        """The state of the suffix of this size of the current match."""
+        while self.link[at] >= 0 and self.length[self.link[at]] >= size:
+            at = self.link[at]
+        return at
+
+
+class SuffixAutomaton(_Walk):
     """All substrings of a set of sequences, with the items that hold each.
 
     States have ``length`` (their longest substring), ``link`` (the state of the
@@ -68,19 +93,38 @@ class SuffixAutomaton:
                     up = self.link[up]
         return self
 
-    def matches(self, sequence: Sequence[int]) -> Iterable[tuple[int, int]]:
-        """For each position, the state and length of the longest match that ends there."""
-        at, size = 0, 0
-        for symbol in sequence:
-            while at and symbol not in self.next[at]:
-                at = self.link[at]
-                size = self.length[at]
-            if symbol in self.next[at]:
-                at, size = self.next[at][symbol], size + 1
-            yield at, size
+    def step(self, at: int, symbol: int) -> int:
+        return self.next[at].get(symbol, -1)
 
-    def suffix(self, at: int, size: int) -> int:
-        """The state of the suffix of this size of the current match."""
-        while self.link[at] >= 0 and self.length[self.link[at]] >= size:
-            at = self.link[at]
-        return at
+    def frozen(self) -> Frozen:
+        return Frozen(self)
+
+
+class _Holders:
+    """Items by state, as one array of numbers."""
+
+    def __init__(self, items: list[set]) -> None:
+        self.names = list({i for held in items for i in held})
+        number = {name: k for k, name in enumerate(self.names)}
+        self.begin, self.held = array("i", [0]), array("i")
+        for held in items:
+            self.held.extend(number[i] for i in held)
+            self.begin.append(len(self.held))
+
+    def __getitem__(self, state: int) -> set:
+        return {self.names[k] for k in self.held[self.begin[state] : self.begin[state + 1]]}
+
+
+class Frozen(_Walk):
+    """A finished automaton in flat arrays, about 20 bytes for each transition and state: what is sent to tasks."""
+
+    def __init__(self, whole: SuffixAutomaton) -> None:
+        self.width = max((c for step in whole.next for c in step), default=0) + 2
+        pairs = sorted((at * self.width + c + 1, there) for at, step in enumerate(whole.next) for c, there in step.items())
+        self.keys, self.targets = array("q", [k for k, _ in pairs]), array("i", [t for _, t in pairs])
+        self.length, self.link, self.items = array("i", whole.length), array("i", whole.link), _Holders(whole.items)
+
+    def step(self, at: int, symbol: int) -> int:
+        key = at * self.width + symbol + 1
+        k = bisect_left(self.keys, key)
+        return self.targets[k] if k < len(self.keys) and self.keys[k] == key else -1
