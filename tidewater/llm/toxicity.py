@@ -39,6 +39,8 @@ WINDOW, WHOLE = 8, 3.0
 THRESHOLD = 0.7
 #: Word scores that a worker remembers.
 REMEMBERED = 500_000
+#: Word scores are summed in parts of one 2**24th.
+_UNIT = float(1 << 24)
 
 
 def _fold(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -174,14 +176,16 @@ class Model:
 
     def _raw(self, texts: list[bytes]) -> np.ndarray:
         folded, starts, ends, first = _fold(texts)
-        total = np.append(0.0, np.cumsum(self.word_scores(folded, starts, ends), dtype=np.float64)) if len(starts) else np.zeros(1)
+        # whole numbers, so that a text's sums don't depend on the texts before it
+        scores = np.rint(self.word_scores(folded, starts, ends).astype(np.float64) * _UNIT).astype(np.int64) if len(starts) else np.zeros(0, np.int64)
+        total = np.append(0, np.cumsum(scores))
         sizes = np.diff(first)
-        mean = (total[first[1:]] - total[first[:-1]]) / np.maximum(1, sizes)
+        mean = (total[first[1:]] - total[first[:-1]]) / np.maximum(1, sizes) / _UNIT
         # a stretch ends at each word; one that is cut by the text's begin counts as half a window at least
         last = np.arange(len(starts)) + 1
         begin = np.maximum(last - WINDOW, np.repeat(first[:-1], sizes))
         full = (last - begin == WINDOW) | (last == np.repeat(first[1:], sizes)) & (begin == np.repeat(first[:-1], sizes))
-        stretch = np.where(full, (total[last] - total[begin]) / np.maximum(last - begin, WINDOW / 2), -np.inf)
+        stretch = np.where(full, (total[last] - total[begin]) / np.maximum(last - begin, WINDOW / 2) / _UNIT, -np.inf)
         worst = np.zeros(len(texts))
         some = sizes > 0
         if some.any():
@@ -201,7 +205,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
 
 
 def score(docs: DataFrame, model: Model, name: str = "toxicity", text_col: str = "text") -> DataFrame:
-    """``docs`` and a double column ``name``: the probability that a text is toxic.  One pass, no shuffle."""
+    """``docs`` and a double column ``name``: the probability that a text is toxic.
+
+    One pass, no shuffle.  Each row is judged by its own text, so repeated rows
+    have equal scores and a very long text is one row's work.  If ``docs`` has a
+    column ``name``, it stays and the new one, the last, gets underscores before
+    its name.
+    """
+    name = common.free_name(docs, name)
     held = common.free_name(docs, "_scored")
     found = common.append_struct(docs, lambda batch: [{"score": x} for x in model.column(batch.column(0).cast(pa.string())).tolist()], [text_col], "score double", held)
     return found.withColumn(name, F.col(f"{held}.score")).drop(held)
