@@ -13,7 +13,8 @@ def table(spark, tmp_path, files=40):
     rng = random.Random(5)
     rows = [(START + datetime.timedelta(seconds=rng.randrange(86400 * 60)), rng.randrange(8), rng.choice("ab")) for _ in range(400)]
     rng.shuffle(rows)  # most events are far behind the watermark of those before
-    spark.createDataFrame(rows, "ts timestamp_ntz, user_id long, event_type string").repartition(files).write.parquet(f"{tmp_path}/events.parquet")
+    whole = [(k, *row, float(k % 7)) for k, row in enumerate(rows)]
+    spark.createDataFrame(whole, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").repartition(files).write.parquet(f"{tmp_path}/events.parquet")
     spark.createDataFrame([(u, f"s{u % 3}") for u in range(6)], "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
     return rows
 
@@ -30,7 +31,7 @@ def sessions(rows):
 
 def test_all_batches_count_and_results_are_files(spark, tmp_path):
     rows = table(spark, tmp_path)
-    found = {name: query(spark, str(tmp_path)) for name, query in events.QUERIES.items()}
+    found = {name: events.QUERIES[name](spark, str(tmp_path)) for name in ("stream_session", "stream_tumbling", "stream_sliding", "stream_static_join")}
     for name, got in found.items():
         assert got.inputFiles() and all(f.endswith(".parquet") for f in got.inputFiles()), name
     assert {(r.user_id, r.begin): r.n for r in found["stream_session"].collect()} == sessions(rows)
@@ -44,3 +45,13 @@ def test_all_batches_count_and_results_are_files(spark, tmp_path):
 
 def test_streams_run_without_a_limit():
     assert not hasattr(events, "LIMIT_S")
+
+
+def test_state_lasts_over_batches(spark, tmp_path):
+    rows = table(spark, tmp_path)
+    got = {r.user_id: (r.n, r.hundredths) for r in events.stream_stateful(spark, str(tmp_path)).collect()}
+    want = {}
+    for k, (_, user, _) in enumerate(rows):
+        n, total = want.get(user, (0, 0))
+        want[user] = (n + 1, total + k % 7 * 100)
+    assert got == want

@@ -1 +1 @@
-"""Part of the tidewater engine."""
+"""Functions of one's own, in batches through Arrow, for what built-in ones don't say."""

@@ -70,3 +70,20 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str, columns: list[s
     a, b = before.select(key, digest().alias("old")), after.select(key, digest().alias("new"))
     change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "changed")
     return a.join(b, key, "full").select(key, change.alias("change")).filter("change is not null")
+
+
+def valid_at(rows: DataFrame, ids: DataFrame, keys: list[str], time_col: str) -> DataFrame:
+    """``rows`` with the columns of ``ids`` whose half-open range (``valid_from``, ``valid_to``) holds the row's time, null without one.
+
+    The join is on ``keys``, the range is a condition on top; no identifier from a later time is seen.
+    """
+    within = (rows[time_col] >= ids["valid_from"]) & (rows[time_col] < ids["valid_to"])
+    same = [rows[k] == ids[k] for k in keys]
+    return rows.join(ids, [*same, within], "left").drop(*[ids[k] for k in keys])
+
+
+def nested_bounds(spark, first: str, days: int, count: int) -> DataFrame:
+    """``(outer, inner, valid_from, valid_to)``: the inner folds before the test part of each outer fold from the second on; they train on all that is before their validation."""
+    start = F.to_timestamp_ntz(F.lit(first))
+    folds = spark.range(2, count + 1).select(F.col("id").cast("int").alias("outer")).select("outer", F.explode(F.sequence(F.lit(1), F.col("outer") - 1)).alias("inner"))
+    return folds.select("outer", "inner", (start + F.make_dt_interval(F.col("inner") * days)).alias("valid_from"), (start + F.make_dt_interval((F.col("inner") + 1) * days)).alias("valid_to"))

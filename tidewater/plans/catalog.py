@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from ..streaming import events
-from . import evidence, relational
+from . import decisions, evidence, governance, policies, relational, scalars, scenarios, selection, serving, sources, vectorised
 
-QUERIES: dict = {**evidence.QUERIES, **relational.QUERIES, **events.QUERIES}
-ORACLE: dict = {**evidence.ORACLE, **relational.ORACLE, **events.ORACLE}
+PARTS = (evidence, relational, decisions, scenarios, selection, governance, serving, scalars, sources, vectorised, policies, events)
+QUERIES: dict = {name: query for part in PARTS for name, query in part.QUERIES.items()}
+ORACLE: dict = {name: sql for part in PARTS for name, sql in part.ORACLE.items()}

@@ -145,14 +145,29 @@ def sessionize_gap(spark, sf_dir):
     return own.withColumn("session", F.sum("new").over(w)).groupBy("user_id", F.col("session").cast("long").alias("session")).agg(F.count("*").alias("n"), F.min("ts").alias("begin"), F.max("ts").alias("end"))
 
 
+#: Query vectors that are sent to the rows at once.
+QUERY_BLOCK = 1000
+
+
 def retrieval_topk(spark, sf_dir):
-    """Nearest five of each query vector (ids divisible by 100), by the dot product of unit vectors; the queries are a stated set, sent in blocks."""
+    """Nearest five of each query vector (ids divisible by 100), by the dot product of unit vectors.
+
+    Queries are a stated set and go to the rows in blocks of ``QUERY_BLOCK``: a block is
+    an array of a bounded size in each task, and each task keeps the best five
+    of its own rows for a query before anything is shuffled.
+    """
     own = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     queries = own.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("v").alias("q"))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     dot = F.round(F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b), 6)
-    pairs = own.join(F.broadcast(queries), F.col("vec_id") != F.col("query")).select("query", "vec_id", dot.alias("score"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    return pairs.withColumn("r", F.row_number().over(best)).filter("r <= 5").drop("r")
+    found = None
+    for k in range(blocks):
+        block = queries.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k)
+        pairs = own.join(F.broadcast(block), F.col("vec_id") != F.col("query")).select("query", "vec_id", dot.alias("score"))
+        top = pairs.withColumn("r", F.row_number().over(best)).filter("r <= 5").drop("r")
+        found = top if found is None else found.unionByName(top)
+    return found
 
 
 def json_extract(spark, sf_dir):

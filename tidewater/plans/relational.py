@@ -23,11 +23,8 @@ STATEMENTS: dict[str, str] = {
     "star_join": """SELECT r_name, n_name, CAST(count(*) AS BIGINT) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem
         JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, n_name""",
     "semi_join_orders": "SELECT o_orderkey, o_orderpriority FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49)",
-    "dq_referential": "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F')",
     "scalar_subquery": "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer)",
-    "exists_subquery": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
-    "lateral_topn": """SELECT c_custkey, o_orderkey, o_totalprice FROM (SELECT c_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY c_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r
-        FROM customer JOIN orders ON o_custkey = c_custkey) x WHERE r <= 2""",
+    "exists_subquery": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)",
     "count_distinct": "SELECT l_returnflag, CAST(count(DISTINCT l_partkey) AS BIGINT) AS parts, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS suppliers FROM lineitem GROUP BY l_returnflag",
     "filter_agg": "SELECT event_type, CAST(count(*) FILTER (WHERE value > 50) AS BIGINT) AS high, round(sum(value) FILTER (WHERE value <= 50), 4) AS low_sum FROM events GROUP BY event_type",
     "rollup_region_nation": "SELECT r_name, n_name, CAST(count(*) AS BIGINT) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)",
@@ -49,7 +46,7 @@ STATEMENTS: dict[str, str] = {
     "union_all": "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey AS k FROM supplier",
     "union_distinct": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey AS k FROM supplier",
     "intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey AS k FROM supplier",
-    "except_distinct": "SELECT l_partkey AS k FROM lineitem EXCEPT SELECT l_partkey AS k FROM lineitem WHERE l_quantity > 10",
+    "except_distinct": "SELECT l_partkey AS k FROM lineitem EXCEPT SELECT l_partkey AS k FROM lineitem WHERE l_quantity > 47",
     "intersect_all": "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey AS k FROM supplier",
     "except_all": "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey AS k FROM supplier",
     "string_funcs": "SELECT c_custkey, upper(c_mktsegment) AS u, substring(c_name, 1, 8) AS s, replace(c_name, '#', '-') AS r, lpad(CAST(c_custkey AS VARCHAR(20)), 8, '0') AS p, trim(concat(' ', c_mktsegment, ' ')) AS t, CAST(length(c_name) AS BIGINT) AS n FROM customer",
@@ -61,26 +58,17 @@ STATEMENTS: dict[str, str] = {
     "exact_dedup": "SELECT md5(text) AS h, min(doc_id) AS doc_id, CAST(count(*) AS BIGINT) AS copies FROM documents GROUP BY md5(text)",
     "content_hash": "SELECT doc_id, md5(text) AS h, CAST(length(text) AS BIGINT) AS n FROM documents",
     "pseudonymise": "SELECT md5(concat('salt-1:', CAST(c_custkey AS VARCHAR(20)))) AS pseudonym, c_mktsegment, c_nationkey FROM customer",
-    "transcript_order": """SELECT conv_id, turn, role, CASE WHEN turn <> before + 1 THEN 'gap' WHEN role = role_before THEN 'same role' END AS problem FROM (
-        SELECT conv_id, turn, role, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS role_before FROM conversations) x
-        WHERE turn <> before + 1 OR role = role_before""",
     "budget_breach": """SELECT conv_id, min(turn) AS first_breach FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS used FROM conversations) x WHERE used > 2000 OR turn >= 6 GROUP BY conv_id""",
-    "league_rank": "SELECT user_id, round(total, 4) AS total, CAST(rank() OVER (ORDER BY round(total, 4) DESC) AS BIGINT) AS place FROM (SELECT user_id, sum(value) AS total FROM events GROUP BY user_id) x",
     "ep_topk": "SELECT p_brand, p_partkey, value FROM (SELECT p_brand, p_partkey, value, row_number() OVER (PARTITION BY p_brand ORDER BY value DESC, p_partkey) AS r FROM (SELECT p_brand, p_partkey, round(sum(l_quantity * (1 - l_discount)), 4) AS value FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY p_brand, p_partkey) y) x WHERE r <= 2",
     "candidate_compare": "SELECT o_custkey, o_orderkey, round(o_totalprice - lead(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey), 4) AS margin, CAST(dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS BIGINT) AS place FROM orders",
-    "cross_source_conflict": "SELECT a.user_id, a.event_type AS type_a, b.event_type AS type_b, CAST(count(*) AS BIGINT) AS n FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id + 1 = b.event_id AND a.event_type < b.event_type AND a.value <> b.value GROUP BY a.user_id, a.event_type, b.event_type",
     # pairs of events of one user with differing types and values, counted without making them: all pairs of two types less those of equal values
     "source_contradictions": """WITH c AS (SELECT user_id, event_type, value, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY user_id, event_type, value),
         t AS (SELECT user_id, event_type, sum(n) AS n FROM c GROUP BY user_id, event_type),
         p AS (SELECT a.user_id, a.event_type AS type_a, b.event_type AS type_b, a.n * b.n AS n FROM t a JOIN t b ON a.user_id = b.user_id AND a.event_type < b.event_type),
         s AS (SELECT a.user_id, a.event_type AS type_a, b.event_type AS type_b, sum(a.n * b.n) AS n FROM c a JOIN c b ON a.user_id = b.user_id AND a.value = b.value AND a.event_type < b.event_type GROUP BY a.user_id, a.event_type, b.event_type)
         SELECT p.user_id, p.type_a, p.type_b, CAST(p.n - coalesce(s.n, 0) AS BIGINT) AS n FROM p LEFT JOIN s ON p.user_id = s.user_id AND p.type_a = s.type_a AND p.type_b = s.type_b WHERE p.n > coalesce(s.n, 0)""",
-    "bruteforce_triples": """SELECT a, b, c, total FROM (SELECT x.p_partkey AS a, y.p_partkey AS b, z.p_partkey AS c, round(x.p_retailprice + y.p_retailprice + z.p_retailprice, 4) AS total FROM part x JOIN part y ON x.p_partkey < y.p_partkey JOIN part z ON y.p_partkey < z.p_partkey
-        WHERE x.p_partkey <= 30 AND y.p_partkey <= 30 AND z.p_partkey <= 30 AND x.p_brand <> y.p_brand AND y.p_brand <> z.p_brand) t WHERE total <= 2750 ORDER BY total DESC, a, b, c LIMIT 5""",
     "slice_report": "SELECT event_type, CAST(user_id % 10 AS INT) AS slice, CAST(count(*) AS BIGINT) AS n, round(avg(value), 6) AS mean FROM events GROUP BY GROUPING SETS ((event_type, CAST(user_id % 10 AS INT)), (event_type), ())",
     "rate_limit_breach": "SELECT event_id, user_id, n FROM (SELECT event_id, user_id, CAST(count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1' HOUR PRECEDING AND CURRENT ROW) AS BIGINT) AS n FROM events) x WHERE n > 1",
-    "deletion_effect": "SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS left_over FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) GROUP BY o_orderstatus",
-    "source_admission": "SELECT source, CAST(count(*) AS BIGINT) AS documents, CAST(count(DISTINCT lang) AS BIGINT) AS languages, min(n_chars) AS shortest FROM documents GROUP BY source HAVING count(lang) = count(*) AND count(text) = count(*)",
 }
 
 

@@ -1 +1 @@
-"""Part of the tidewater engine."""
+"""Files that tables are read from and written to."""
