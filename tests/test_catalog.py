@@ -5,9 +5,11 @@ import os
 import duckdb
 import pytest
 
-from tidewater.plans import catalog
+from tidewater.plans import catalog, relational
 from tidewater.plans.relational import TABLES
 
+#: Queries whose faults the smallest tables may not hold.
+EMPTY = {"secret_scan"}
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
@@ -31,4 +33,17 @@ def test_equal_to_sql(spark, duck, name):
     want = duck.execute(catalog.ORACLE[name])
     names = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(names)
-    assert plain(got.collect(), got.columns) == plain(want.fetchall(), names)
+    rows = want.fetchall()
+    assert plain(got.collect(), got.columns) == plain(rows, names)
+    assert rows or name in EMPTY
+
+
+def test_functions_over_pairs_of_groups_can_be_counted(spark):
+    assert catalog.QUERIES["udf_cogroup"](spark, SF_DIR).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(relational.STATEMENTS))
+def test_plans_equal_the_same_statement_in_spark(spark, name):
+    got, want = catalog.QUERIES[name](spark, SF_DIR), relational.run(spark, SF_DIR, relational.STATEMENTS[name])
+    assert sorted(got.dtypes) == sorted(want.dtypes)
+    assert plain(got.collect(), got.columns) == plain(want.collect(), want.columns)

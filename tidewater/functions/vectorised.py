@@ -60,9 +60,13 @@ def last_before(left: DataFrame, right: DataFrame, by: list[str], at: str) -> Da
     """
 
     def merge(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if b.empty:
+            return a[["id"]].assign(value=float("nan"))
         out = pd.merge_asof(a.sort_values([at, "id"]), b[[at, "value"]].sort_values(at), on=at, allow_exact_matches=False)
         return out[["id", "value"]]
 
+    # columns of the same origin on both sides lose one of them to pruning; a marked alias keeps them apart
+    right = right.select(*[F.col(c).alias(c, metadata={"side": "right"}) for c in right.columns])
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(merge, "id long, value double")
 
 
