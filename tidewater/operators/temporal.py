@@ -10,19 +10,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def as_of_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, value_cols: list[str], tie_cols: list[str] = ()) -> DataFrame:
+def as_of_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, value_cols: list[str], tie_cols: list[str] = (), bucket: str = "day") -> DataFrame:
     """``left`` with the ``value_cols`` of the last row of ``right`` at or before its time, null without one.
 
-    Both sides are united and swept once in time order within each ``by`` key,
-    so the cost is one sort of both, however many rows match; at equal times a
-    row of ``right`` is visible, and of several the greatest by ``tie_cols``.
+    Both sides are united and swept once in time order, so the cost is one sort of
+    both, however many rows match; at equal times a row of ``right`` is visible,
+    and of several the greatest by ``tie_cols``.  The sweep runs within a key's
+    ``bucket`` of time, so a hot key is as many tasks as it has buckets; what
+    was known when a bucket began is carried over from the last row of each earlier
+    one, which is a row for each key and bucket.
     """
-    names = left.columns
-    told = right.select(F.col(by), F.col(right_time).alias("_at"), F.lit(0).alias("_side"), *[F.col(c).alias(f"_tie{i}") for i, c in enumerate(tie_cols)], F.struct(*value_cols).alias("_known"))
-    asked = left.select(F.col(by), F.col(left_time).alias("_at"), F.lit(1).alias("_side"), F.struct(*names).alias("_row"))
-    sweep = Window.partitionBy(by).orderBy("_at", "_side", *[f"_tie{i}" for i in range(len(tie_cols))]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = told.unionByName(asked, allowMissingColumns=True).withColumn("_last", F.last("_known", ignorenulls=True).over(sweep))
-    return both.filter("_side = 1").select("_row.*", *[F.col(f"_last.{c}").alias(c) for c in value_cols])
+    ties = [F.col(c).alias(f"_tie{i}") for i, c in enumerate(tie_cols)]
+    in_bucket = F.date_trunc(bucket, F.col("_at")).alias("_bucket")
+    told = right.filter(F.col(right_time).isNotNull()).select(F.col(by), F.col(right_time).alias("_at"), F.lit(0).alias("_side"), *ties, F.struct(*value_cols).alias("_known")).withColumn("_bucket", in_bucket)
+    asked = left.select(F.col(by), F.col(left_time).alias("_at"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row")).withColumn("_bucket", in_bucket)
+    tie_names = [f"_tie{i}" for i in range(len(tie_cols))]
+    ends = told.groupBy(by, "_bucket").agg(F.max_by("_known", F.struct("_at", *tie_names)).alias("_end"))
+    carried = _carry(ends, asked.select(by, "_bucket").distinct(), by, F.last("_end", ignorenulls=True), "_carried")
+    sweep = Window.partitionBy(by, "_bucket").orderBy("_at", "_side", *tie_names).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = told.unionByName(asked, allowMissingColumns=True).withColumn("_last", F.last("_known", ignorenulls=True).over(sweep)).filter("_side = 1")
+    both = both.join(carried, both[by].eqNullSafe(carried[by]) & both["_bucket"].eqNullSafe(carried["_bucket"]), "left").select(both["_row"], F.coalesce(both["_last"], carried["_carried"]).alias("_last"))
+    return both.select("_row.*", *[F.col(f"_last.{c}").alias(c) for c in value_cols])
+
+
+def _carry(ends: DataFrame, wanted: DataFrame, by: str, over_earlier: Column, name: str) -> DataFrame:
+    """``(by, _bucket, name)`` for the ``wanted`` buckets: an aggregate over the rows of ``ends`` in the key's earlier buckets."""
+    rows = ends.unionByName(wanted.join(ends.select(by, "_bucket"), [by, "_bucket"], "left_anti"), allowMissingColumns=True)
+    earlier = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select(by, "_bucket", over_earlier.over(earlier).alias(name))
+
+
+def running_before(rows: DataFrame, by: str, time: str, order: list[str], sums: dict[str, Column], bucket: str = "day") -> DataFrame:
+    """``rows`` with sums (name to numeric expression) over all earlier rows of their key in the order of ``time`` and ``order``; 0 before any.
+
+    A key's buckets of time are summed side by side, as in ``as_of_join``; what came
+    before a bucket is added from the sums of the earlier ones.
+    """
+    dealt = rows.withColumn("_bucket", F.date_trunc(bucket, F.col(time)))
+    ends = dealt.groupBy(by, "_bucket").agg(F.struct(*[F.sum(c).alias(n) for n, c in sums.items()]).alias("_end"))
+    earlier = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(F.col(by).alias("_key"), F.col("_bucket").alias("_own"), *[F.sum(f"_end.{n}").over(earlier).alias(f"_before_{n}") for n in sums])
+    within = Window.partitionBy(by, "_bucket").orderBy(time, *order).rowsBetween(Window.unboundedPreceding, -1)
+    found = dealt.withColumns({f"_within_{n}": F.sum(c).over(within) for n, c in sums.items()})
+    found = found.join(carried, found[by].eqNullSafe(F.col("_key")) & found["_bucket"].eqNullSafe(F.col("_own")))
+    zero = F.lit(0)
+    return found.select(*rows.columns, *[(F.coalesce(f"_within_{n}", zero) + F.coalesce(f"_before_{n}", zero)).alias(n) for n in sums])
 
 
 def visible(observations: DataFrame, deadline: Column, embargo_hours: int = 0) -> Column:

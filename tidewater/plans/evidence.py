@@ -35,10 +35,10 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    past = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     y = F.when(F.col("event_type") == "purchase", 1.0).otherwise(0.0)
     own = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", y.alias("y"))
-    return own.withColumn("p", (1 + F.coalesce(F.sum("y").over(past), F.lit(0.0))) / (5 + F.count("*").over(past)))
+    past = temporal.running_before(own, "user_id", "ts", ["event_id"], {"_hits": F.col("y"), "_all": F.lit(1)})
+    return past.withColumn("p", (1 + F.col("_hits")) / (5 + F.col("_all"))).drop("_hits", "_all")
 
 
 def asof_latest(spark, sf_dir):
@@ -49,9 +49,8 @@ def pit_filter(spark, sf_dir):
     """Per decision the number of observations of its entity that were already available, by a running count over one sweep."""
     told = observations(spark, sf_dir).select("entity", F.col("available_at").alias("at"), F.lit(None).cast("long").alias("decision_id"), F.lit(0).alias("side"))
     asked = decisions(spark, sf_dir).select("entity", F.col("deadline").alias("at"), "decision_id", F.lit(1).alias("side"))
-    sweep = Window.partitionBy("entity").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
-    both = told.unionByName(asked).withColumn("visible", F.sum(1 - F.col("side")).over(sweep).cast("long"))
-    return both.filter("side = 1").select("decision_id", "visible")
+    both = temporal.running_before(told.unionByName(asked), "entity", "at", ["side"], {"visible": 1 - F.col("side")})
+    return both.filter("side = 1").select("decision_id", F.col("visible").cast("long").alias("visible"))
 
 
 def revision_as_of(spark, sf_dir):
