@@ -37,6 +37,68 @@ mail me: [mail|tom at example dot org] any time
 [mail|info [at] example [dot] net] is our address
 email [mail|bob.smith at mail dot example dot com] today
 contact [mail|anna at example dot de] or call
+Please contact [name|Robert Lane] or [name|Susan Field] for a copy.
+Dear [name|Mr. Hughes], thank you for your letter.
+Dear [name|Mrs. Ellen Ward], we have received your form.
+Dear [name|Dr. Paul Stein], the room is booked.
+I spoke to [name|Ms. Grace Hill] about the lease.
+We met [name|Mr. David Frost] and his wife at the gate.
+The form was signed by [name|Alice Brook] in March.
+It was written by [name|George Vale] and printed in London.
+Sent by [name|Lucy Marsh] on behalf of the board.
+Signed by [name|Martin Wolf], tenant.
+Sincerely, [name|Nora Lund]
+Best regards, [name|James Ford]
+Kind regards, [name|Emma Shaw]
+Yours, [name|Helen Price]
+Name: [name|Frank Miller]
+Full name: [name|Julia Hart]
+Patient name: [name|Simon Peel]
+My name is [name|Ivan Petrov] and I am the owner.
+My name is [name|Clara Voss], I work at the school.
+Her name is [name|Rita Gomez] as far as I know.
+Attn: [name|Ms. Ruth Adler]
+Attention: [name|Leo Brandt]
+Ask for [name|Dr. Hugo Lenz] at the front desk.
+Please write to [name|Mrs. Irene Cook] at the office.
+Herr [name|Jonas Keller] hat den Brief gelesen.
+Frau [name|Sabine Vogt] wohnt in der Nähe.
+Madame [name|Claire Dubois] est la directrice.
+Señor [name|Pablo Ruiz] vive en la ciudad.
+Call me on [phone|202-555-0173] after lunch.
+Call [phone|(303) 555-0111] to book a table.
+Phone: [phone|404-555-0188]
+Phone [phone|(617) 555-0166] for the keys.
+Tel: [phone|0161 496 0321] from nine to five
+Tel. [phone|030 901820] or by mail
+telephone [phone|01632 960983] at any time
+Mobile: [phone|0151 23456789]
+mobile [phone|07700 900461] works best
+Fax: [phone|212.555.0121]
+You can reach me at [phone|(702) 555-0134] or at work.
+our number is [phone|555-0142] as before
+Reach us at [phone|(212) 555-0190], ask for the manager
+SSN: [id|078-05-1120]
+SSN [id|457-55-5462] was given on the form.
+His social security number is [id|001-01-0001] it says.
+social security no. [id|219-45-6789] on page two
+Passport no. [id|L8988901C] is valid.
+passport number [id|K1234567] of the traveller
+Passport: [id|P7654321]
+ID number [id|CD987654A] is wrong.
+ID: [id|JK456789D]
+national id [id|AB654321B] of the tenant
+Tax ID: [id|98-7654321]
+tax id [id|45-6789012] for the shop
+write to [mail|paul at example dot com] or phone
+write to [mail|lea (at) example (dot) org] please
+mail me: [mail|kim at example dot net]
+mail [mail|sara (at) example (dot) de] for more
+email [mail|max at example dot org] today
+email: [mail|office [at] example [dot] com]
+contact [mail|news at example dot net] or call
+send it to [mail|rosa.lee at example dot com] by May
+[mail|help (at) example (dot) net] is our address
 The river ran past the old mill as it always had.
 In the year 1984 there were 120 people in the town.
 It rained for 3 days and the wells were full again.
@@ -62,6 +124,25 @@ Item 00123 and item 45-1 are out of stock.
 Contact with water is to be avoided.
 Please contact the office for a form.
 Name and number are given below.
+The signed form is kept by the office in Berlin.
+Dear reader, thank you for the letter of May 12.
+Dear Sir or Madam, the room is no longer free.
+It was printed in London in 1902 and sold by the board.
+Regards from the whole team in Madrid.
+Call the office on Monday or write a letter.
+The number is 42 and the year is 1969.
+Her number was 7 and his was 12.
+Take bus 555 to the gate, then walk 300 metres.
+The table has 12 rows and 3456 cells, see 10-12.
+A passport is needed, a form of ID is not.
+The tax was 45 percent in 1990.
+Serial no. 12345 and part no. AB12 are in the box.
+See you at the gate at nine, write if not.
+Meet at noon, at the dot of twelve.
+An email or a letter is enough.
+New York, Los Angeles and San Diego are large towns.
+The Royal Society and the National Trust met in Oxford.
+On Monday, Anna fell asleep. The next day it rained.
 Ask for help when in doubt.
 Das. Von der Ein
 Was of. The and Then. That is For it.
