@@ -128,3 +128,12 @@ def test_weights_are_those_of_least_loss():
             moved = best.copy()
             moved[k] += step
             assert loss(moved) > loss(best)
+
+
+def test_hashes_in_blocks_are_those_of_the_whole(monkeypatch):
+    raw = np.frombuffer(("one two three 日本 " * 400 + "x" * 5000 + " end").encode(), dtype=np.uint8)
+    starts, ends = words.spans(np.where(raw == 32, 0, raw), np.array([0, len(raw)]))
+    whole = words.hashes(raw, starts, ends)
+    for block in (7, 100, 4096):
+        monkeypatch.setattr(words, "BLOCK", block)
+        assert (words.hashes(raw, starts, ends) == whole).all()

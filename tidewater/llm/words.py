@@ -9,6 +9,8 @@ import numpy as np
 #: The multiplier of the polynomial word hash, odd so that it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(BASE, -1, 1 << 64)
+#: Bytes that are hashed at once.
+BLOCK = 1 << 20
 
 
 @lru_cache(maxsize=4)
@@ -52,7 +54,22 @@ def spans(folded: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def hashes(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes: equal bytes have equal hashes wherever they stand."""
+    """A 64-bit hash of each span's bytes: equal bytes have equal hashes wherever they stand.
+
+    Spans one after the other are taken a block of ``BLOCK`` bytes at a time, so that
+    a long text costs no more memory than a block, or its longest span.
+    """
+    if len(folded) > BLOCK and len(starts) > 1 and bool(np.all(starts[1:] >= ends[:-1])):
+        out, i = [], 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, side="right")))
+            out.append(_hashes(folded[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i]))
+            i = j
+        return np.concatenate(out)
+    return _hashes(folded, starts, ends)
+
+
+def _hashes(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     n = len(folded)
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(folded * powers(BASE, n), out=total[1:])
