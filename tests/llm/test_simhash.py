@@ -91,3 +91,7 @@ def test_one_row_of_each_group_stays(spark):
     assert got.columns == docs.columns
     assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "2", "5", "None", "None"]
     assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_segments_by_size():
+    assert [simhash.best_segments(n) for n in (200_000, 10_000_000, 1_000_000_000)] == [3, 3, 2]

@@ -2,7 +2,8 @@
 
 A text's fingerprint is the bitwise majority of the 64-bit hashes of its word
 shingles.  Two fingerprints are linked if at most ``radius`` bits differ.  The
-64 bits are cut into ``segments`` parts.  By the pigeonhole rule linked
+64 bits are cut into ``segments`` parts, by default as many as are the least work
+for the number of fingerprints.  By the pigeonhole rule linked
 fingerprints lie, in one of the segments, within a small Hamming ball of each
 other; so each fingerprint looks up the values of the balls round its own
 segments in one table per segment, and what it finds is verified on all bits.
@@ -22,6 +23,7 @@ Null and empty texts have fingerprint zero and are linked like any other.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,6 @@ from .components import components
 SHINGLE_WORDS = 4
 SEED = 42
 RADIUS = 4
-SEGMENTS = 3
 HOT_ENTRY = 512
 
 
@@ -79,6 +80,25 @@ def _segments(segments: int, bits: int = 64) -> list[tuple[int, int]]:
     return out
 
 
+def _plan(segments: int, radius: int) -> list[tuple[int, int, int, int]]:
+    """(number, shift, width, radius) of each segment: linked fingerprints are within this radius in one of them; some need no look."""
+    whole, more = divmod(radius, segments)
+    parts = [(k, shift, width, whole if k <= more else whole - 1) for k, (shift, width) in enumerate(_segments(segments))]
+    return [p for p in parts if p[3] >= 0]
+
+
+def best_segments(n: int, radius: int = RADIUS) -> int:
+    """The number of segments with the least work for ``n`` fingerprints: points of the balls, and entries that random fingerprints have there.
+
+    Three up to some 30 million fingerprints, two (of 32 bits) beyond; the links are the same.
+    """
+
+    def work(segments: int) -> float:
+        return sum(sum(comb(width, d) for d in range(r + 1)) * (1 + n / 2**width) for _, _, width, r in _plan(segments, radius))
+
+    return min(range(1, 9), key=work)
+
+
 def _ball(width: int, radius: int) -> list[int]:
     """XOR masks of the Hamming ball of this radius over ``width`` bits."""
     return [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
@@ -90,16 +110,14 @@ def _longs(values: list[int]) -> Column:
     return F.transform(F.split(F.lit(signed), ","), lambda x: x.cast("long"))
 
 
-def links(prints: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, hot_entry: int = HOT_ENTRY) -> DataFrame:
+def links(prints: DataFrame, radius: int = RADIUS, segments: int = 3, hot_entry: int = HOT_ENTRY) -> DataFrame:
     """Links between different fingerprints: ``(a, b)``, a > b.
 
     ``prints`` has distinct values in ``fp``.  Within hot entries a chain of
     links through the smallest neighbour stands for all links of a ball's
     point; connectivity is that of all links.
     """
-    whole, more = divmod(radius, segments)
-    parts = [(k, shift, width, whole if k <= more else whole - 1) for k, (shift, width) in enumerate(_segments(segments))]
-    parts = [p for p in parts if p[3] >= 0]
+    parts = _plan(segments, radius)
 
     def value(shift: int, width: int) -> Column:
         return F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
@@ -124,7 +142,7 @@ def links(prints: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, hot
     return cold.unionByName(stars)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, segments: int = SEGMENTS, shingle_words: int = SHINGLE_WORDS, hot_entry: int = HOT_ENTRY) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, segments: int | None = None, shingle_words: int = SHINGLE_WORDS, hot_entry: int = HOT_ENTRY) -> DataFrame:
     """``(id, fp, component)``: the smallest id reachable over links, itself included.
 
     One row per row of ``docs``; rows with equal ids count as one node each with
@@ -134,7 +152,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = common.durable(fingerprints(docs, id_col, text_col, shingle_words))
     classes = common.durable(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
-    joined = components(links(classes.select("fp"), radius, segments, hot_entry))
+    joined = components(links(classes.select("fp"), radius, segments or best_segments(classes.count(), radius), hot_entry))
     labelled = common.durable(classes.join(joined, classes.fp == joined.node, "left").select("fp", "least", classes.n.alias("copies"), F.coalesce("root", "fp").alias("root")))
     # least id of each component, then of each fingerprint
     roots = common.durable(labelled.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("n")))
