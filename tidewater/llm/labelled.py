@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from . import _common as common
+
 #: Most labelled rows that a classifier is fitted on.
 SAMPLE_ROWS = 6000
 #: Most characters of their texts.
-SAMPLE_CHARS = 64_000_000
+SAMPLE_CHARS = 32_000_000
 
 
 def remainder(id_col: str, modulus: int) -> Column:
@@ -27,23 +29,29 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, value:
     """Texts and 0/1 labels of at most ``rows`` labelled rows that are not held out, and of at most ``chars`` characters in all.
 
     Rows are taken whole, in the order of their ids' hashes; of repeated rows
-    each counts.  Only ids, labels and lengths are sorted; the chosen rows
-    (bounded by ``rows`` and ``chars``) are sent to the scan of the texts.
+    each counts.  The chosen ids (bounded by ``rows``) are sent to the one scan of
+    the texts, and the rows found are written to the shared folder; of these the
+    bounded sample is taken by ids, labels and lengths.
     """
     known = labels.filter(F.col(label).isin(0, 1) & ~held_out(id_col, modulus, value)).select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_label"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id", "_label").limit(rows)
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    marked = texts.join(F.broadcast(chosen), "_id").withColumn("_key", F.xxhash64("_text"))
-    sizes = marked.select("_id", "_label", "_key", F.length("_text").alias("_n"), F.xxhash64("_id").alias("_order")).orderBy("_order", "_id", "_label", "_key").limit(rows).collect()
+    marked = common.durable(texts.join(F.broadcast(chosen), "_id").withColumn("_key", F.xxhash64("_text")))
+    sizes = marked.select("_id", "_label", "_key", F.length("_text").alias("_n"), F.xxhash64("_id").alias("_order")).orderBy("_order", "_id", "_label", "_key").limit(rows + 1).collect()
     taken, total = Counter(), 0
-    for r in sizes:
+    for r in sizes[:rows]:
         total += r._n
         if total > chars:
             break
         taken[r._id, r._label, r._key] += 1
     if not taken:
         return [], []
-    wanted = docs.sparkSession.createDataFrame([(i, y, k, n) for (i, y, k), n in taken.items()], marked.select("_id", "_label", "_key").schema.add("_times", IntegerType()))
-    found = marked.join(F.broadcast(wanted), ["_id", "_label", "_key"]).groupBy("_id", "_label", "_text").agg(F.first("_times").alias("_times")).collect()
+    wanted = docs.sparkSession.createDataFrame([(*key, n) for key, n in taken.items()], marked.select("_id", "_label", "_key").schema.add("_times", IntegerType()))
+    found = marked.join(F.broadcast(wanted), ["_id", "_label", "_key"])
+    if len(sizes) > rows:  # some row may be repeated more often than it is wanted
+        found = found.groupBy("_id", "_label", "_text").agg(F.first("_times").alias("_times"))
+    else:
+        found = found.withColumn("_times", F.lit(1))
+    found = found.select("_id", "_label", "_text", "_times").collect()
     out = sorted((r._id, r._text, r._label) for r in found for _ in range(r._times))
     return [t for _, t, _ in out], [y for _, _, y in out]
