@@ -9,7 +9,7 @@ import pytest
 from tidewater.llm import labelled, toxicity
 from tidewater.llm.q08_bpe import vocabulary
 
-from . import test_decontaminate, test_line_dedup, test_simhash, test_toxicity
+from . import test_decontaminate, test_line_dedup, test_near_copies, test_toxicity
 
 
 def corpus():
@@ -40,7 +40,7 @@ def test_equal_to_plain_stages(spark, tmp_path):
     gone = dict(test_line_dedup.slow([(i, t) for i, t in left], 50))
     cut = [(i, t if not gone[i] else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i])) for i, t in left]
     cut = [(i, t) for i, t in cut if not gone[i] or t.split()]
-    kept = {i for i, _, c in test_simhash.slow_components(cut) if i == c}
+    kept = {i for i, _, c in test_near_copies.slow_components(cut) if i == c}
     single = [(i, t) for i, t in cut if i in kept]
     assert len(kept) < len(cut) < len(left)
     hits = {i: (n, h) for i, n, h, _ in test_decontaminate.slow(single, items)}
