@@ -24,8 +24,8 @@ The depth-first order is the order of the conversations' paths.  They are
 sorted by range partitions; a conversation emits what the one before it in that
 order did not, and offsets are sums within a partition plus one number for each
 partition.  Equal conversations are one path.  A first turn that is shared by
-most conversations is one node with pre-aggregated sizes; rows that look it up
-are sent to by broadcast.
+most conversations is one node with pre-aggregated sizes; rows that look it up,
+and conversations that many others equal, are sent to by broadcast.
 
 Null texts and roles are empty; rows of one conversation are ordered by turn,
 then role, then text, and repeated ones are kept.  Rows with a null
@@ -122,9 +122,9 @@ def build(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", r
         common.map_arrow(whole, lambda b: {"conv": b.column(0), "steps": [steps(t) for t in b.column(1).to_pylist()]}, f"conv {kind}, steps array<struct<{_STEPS.replace(' ', ':').replace(',:', ',')}>>")
     )
     leaf = F.element_at("steps", -1).node
-    leaves = walked.groupBy(leaf.alias("leaf")).agg(F.any_value("steps").alias("steps"))
-    ranked = common.durable(leaves.select("leaf", F.col("steps.node").alias("path")).orderBy("path").withColumn("rank", F.monotonically_increasing_id()))
-    members = walked.select("conv", leaf.alias("leaf")).join(ranked.select("leaf", "rank"), "leaf").select("conv", "rank")
+    leaves = walked.groupBy(leaf.alias("leaf")).agg(F.any_value("steps").alias("steps"), F.count("*").alias("n"))
+    ranked = common.durable(leaves.select("leaf", F.col("steps.node").alias("path"), "n").orderBy("path").withColumn("rank", F.monotonically_increasing_id()))
+    members = common.join_counted(walked.select("conv", leaf.alias("leaf")), ranked.select("leaf", "rank", "n"), ["leaf"]).select("conv", "rank")
     paths = common.durable(ranked.select("rank", F.posexplode("path").alias("depth", "node")))
     firsts = paths.groupBy("node").agg(F.min("rank").alias("first_rank"), F.count("*").alias("n"))
     # a node's turn, from any conversation that has it
@@ -170,4 +170,6 @@ def read_back(tree: Tree) -> DataFrame:
     pieces = common.join_counted(tree.paths, tree.nodes.select("node", "n", "segment", "mask_from", "mask_to"), ["node"])
     whole = pieces.groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("depth", "segment", "mask_from", "mask_to"))).alias("pieces"))
     found = common.map_arrow(whole, _digests, "rank long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
-    return tree.members.join(found, "rank").drop("rank")
+    members = common.durable(tree.members)
+    counted = common.durable(found.join(members.groupBy("rank").agg(F.count("*").alias("n")), "rank"))
+    return common.join_counted(members, counted, ["rank"]).drop("rank", "n")
