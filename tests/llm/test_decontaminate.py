@@ -109,3 +109,25 @@ def test_many_passes_null_ids_and_clashing_names(spark, monkeypatch):
     want = [(i, n, h, [x for x in found if x != "None"]) for i, n, h, found in slow(docs, items)]
     assert sorted((r.doc_id, r._overlap.n_words, r._overlap.n_hit, r._overlap["items"]) for r in got.collect()) == sorted(want)
     assert any(h and not found for _, _, h, found in want)
+
+
+@pytest.mark.parametrize("tables", ["fixture", "sf0.001"])
+def test_query_equals_its_statement(spark, tmp_path, tables):
+    duckdb = pytest.importorskip("duckdb")
+    from tidewater.llm.q10_decontaminate import ORACLE, op10_decontaminate
+
+    folder = f"/root/testdata/{tables}"
+    if tables == "fixture":
+        docs, items = fixture(9)
+        docs = [(k, text) for k, (_, text) in enumerate(docs)]
+        folder = str(tmp_path)
+        spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{folder}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet{'/*.parquet' if tables == 'fixture' else ''}'")
+    want = con.execute(ORACLE["op10_decontaminate"])
+    names = [c[0] for c in want.description]
+    got = op10_decontaminate(spark, folder)
+    assert got.columns == names
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
