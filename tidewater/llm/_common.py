@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task's vectorised step works on at once; one longer text is taken alone.
 CHUNK_BYTES = 1_000_000
+#: Bytes of rows that reach a Python worker at once; one larger row comes alone.
+BATCH_BYTES = 4_000_000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,11 +79,18 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = j
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of a batch, as by rows alone 10,000 long texts would be one; a session's own bound stays."""
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
     """``mapInArrow`` of a function from a batch to columns by name."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    bounded_batches(df.sparkSession)
     spark_schema = _parse_datatype_string(schema)
     names = spark_schema.names
     kinds = [f.type for f in to_arrow_schema(spark_schema)]
@@ -104,6 +114,7 @@ def append_struct(df: DataFrame, rows: Callable[[pa.RecordBatch], list[dict]], i
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
+    bounded_batches(df.sparkSession)
     name = free_name(df, name)
     kind = _parse_datatype_string(schema)
     arrow = to_arrow_type(kind)
