@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType, StructType
 
 #: What makes a value the same after writing and reading.
 OPTIONS = {
-    "csv": {"header": "true", "quote": '"', "escape": '"', "nullValue": "\\N", "emptyValue": "", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "multiLine": "true", "lineSep": "\n"},
+    "csv": {"header": "true", "quote": '"', "escape": '"', "nullValue": "\\N", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "multiLine": "true", "lineSep": "\n"},
     "json": {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"},
     "orc": {"compression": "zstd"},
     "parquet": {"compression": "zstd"},
@@ -31,6 +31,6 @@ def read(spark: SparkSession, path: str, kind: str, schema: StructType) -> DataF
 
 
 def read_checked(spark: SparkSession, path: str, kind: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
-    """Rows that fit, and the texts of those that don't."""
+    """Rows that fit, and those that don't with their text in the last column, ``BAD``, beside what could be read of them."""
     whole = spark.read.schema(StructType([*schema.fields]).add(BAD, StringType())).format(kind).options(**OPTIONS[kind], mode="PERMISSIVE", columnNameOfCorruptRecord=BAD).load(path)
-    return whole.filter(F.col(BAD).isNull()).drop(BAD), whole.filter(F.col(BAD).isNotNull()).select(BAD)
+    return whole.filter(F.col(BAD).isNull()).drop(BAD), whole.filter(F.col(BAD).isNotNull())
