@@ -51,6 +51,17 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Gives memory that Python has freed back to the system, plans that no data frame refers to any more among it."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def raw_texts(column: pa.Array) -> tuple[memoryview, np.ndarray]:
     """UTF-8 bytes of a string column and its n + 1 offsets; a null is an empty text."""
     column = column.cast(pa.large_string())

@@ -201,7 +201,9 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, value: int = 1, id_col: str = "doc_id", text_col: str = "text", rows: int = labelled.SAMPLE_ROWS) -> Model:
     """A model of at most ``rows`` labelled rows whose crc32(id) modulo ``modulus`` is not ``value``."""
-    return Model.fit(*labelled.sample(docs, labels, label, modulus, value, id_col, text_col, rows))
+    model = Model.fit(*labelled.sample(docs, labels, label, modulus, value, id_col, text_col, rows))
+    common.release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, name: str = "toxicity", text_col: str = "text") -> DataFrame:
