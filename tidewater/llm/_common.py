@@ -156,11 +156,11 @@ def join_counted(rows: DataFrame, counted: DataFrame, on: list[str], n: str = "n
     """Inner join of ``rows`` with ``counted``, which has each key once and in ``n`` its number of rows.
 
     Hot keys number fewer than ``HOT_SHARE``, whatever the input, so they are sent to
-    where their rows are; only rows of other keys are shuffled.  Both inputs
+    where their rows are; only rows of other keys are shuffled, and sorted, so that no other table passes the driver.  Both inputs
     should be durable, as they are read twice.
     """
     total = counted.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
     hot = counted.filter(F.col(n) * HOT_SHARE > total)
     cold = counted.filter(F.col(n) * HOT_SHARE <= total)
     near = rows.join(F.broadcast(hot), on)
-    return near.unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on))
+    return near.unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold.hint("merge"), on))
