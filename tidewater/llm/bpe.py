@@ -145,7 +145,17 @@ class Codec:
 
     def __init__(self, path: str) -> None:
         with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
+            self._set({base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())})
+
+    @classmethod
+    def of_ranks(cls, ranks: dict[bytes, int]) -> Codec:
+        """A codec of tokens whose ids are their ranks."""
+        new = cls.__new__(cls)
+        new._set(ranks)
+        return new
+
+    def _set(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
         size = max(self.ranks.values()) + 1
         tokens = [b""] * size
         for token, rank in self.ranks.items():
