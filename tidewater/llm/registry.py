@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with ``QUERIES`` (name -> function) and perhaps ``ORACLE`` (name -> DuckDB SQL).
-MODULES = ("q01_pii", "q02_chat", "q03_line_dedup", "q04_toxicity", "q05_licenses", "q06_line_quality", "q07_ranking", "q08_bpe", "q09_simhash", "q10_decontaminate", "q11_filter_audit", "q12_packing")
+MODULES = ("q01_pii", "q02_chat", "q03_line_dedup", "q04_toxicity", "q05_licenses", "q06_line_quality", "q07_ranking", "q08_bpe", "q09_simhash", "q10_decontaminate", "q11_filter_audit", "q12_packing", "q13_hard_negatives")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
