@@ -4,14 +4,16 @@ import datetime
 import random
 from collections import Counter
 
-from tidewater.streaming import events
+from pyspark.sql import functions as F
+
+from tidewater.streaming import events, tally
 
 START = datetime.datetime(2024, 1, 1)
 
 
 def table(spark, tmp_path, files=40):
     rng = random.Random(5)
-    rows = [(START + datetime.timedelta(seconds=rng.randrange(86400 * 60)), rng.randrange(8), rng.choice("ab")) for _ in range(400)]
+    rows = [(START + datetime.timedelta(seconds=rng.randrange(86400 * 60)), rng.randrange(8), rng.choice(["view", "purchase"])) for _ in range(400)]
     rng.shuffle(rows)  # most events are far behind the watermark of those before
     whole = [(k, *row, float(k % 7)) for k, row in enumerate(rows)]
     spark.createDataFrame(whole, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").repartition(files).write.parquet(f"{tmp_path}/events.parquet")
@@ -48,10 +50,43 @@ def test_streams_run_without_a_limit():
 
 
 def test_state_lasts_over_batches(spark, tmp_path):
-    rows = table(spark, tmp_path)
-    got = {r.user_id: (r.n, r.hundredths) for r in events.stream_stateful(spark, str(tmp_path)).collect()}
-    want = {}
-    for k, (_, user, _) in enumerate(rows):
-        n, total = want.get(user, (0, 0))
-        want[user] = (n + 1, total + k % 7 * 100)
-    assert got == want
+    """Forty shuffled files: every column equals the batch statement's."""
+    import duckdb
+
+    table(spark, tmp_path)
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("stream_stateful", "stream_dedup", "stream_stream_interval_join"):
+        want = con.execute(events.ORACLE[name])
+        names = [d[0] for d in want.description]
+        got = events.QUERIES[name](spark, str(tmp_path)).select(names).collect()
+        assert got and sorted(map(tuple, got)) == sorted(want.fetchall()), name
+    assert spark.conf.get(store) == before
+
+
+def test_tally_closes_days_and_drops_what_is_late(spark, tmp_path):
+    """With a delay of two days, days behind it are closed in order; an event from before is dropped."""
+    day = lambda d, s=0: START + datetime.timedelta(days=d, seconds=s)
+    files = [[(1, day(0, 50), 1.0), (1, day(0, 10), 2.0)], [(1, day(3), 1.0), (2, day(1), 1.0)], [(1, day(9, 5), 0.5)], [(1, day(8, 5), 0.25), (1, day(8, 5), 0.25)], [(1, day(1), 100.0)], [(1, day(9, 5), 0.0)]]
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, "user_id long, ts timestamp_ntz, value double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/own")
+        if k == 0:
+            schema = spark.read.parquet(f"{tmp_path}/own").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/own").withColumn("ts", F.col("ts").cast("timestamp"))
+    name, provider = tally.STORE
+    before = spark.conf.get(name)
+    spark.conf.set(name, provider)
+    try:
+        got = {r.user_id: (r.n, r.hundredths, r.longest_s) for r in events.updated(tally.tallied(stream, "2 days"), ["user_id"]).collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert got[2] == (1, 100, 0)
+    assert got[1] == (7, 450, 5 * 86400 + 5)
+
+
+def test_longest_gap():
+    assert tally.longest_gap([], None, 0) == (None, 0)
+    assert tally.longest_gap([5, 9, 30], None, 0) == (30, 21)
+    assert tally.longest_gap([50, 51], 20, 3) == (51, 30)

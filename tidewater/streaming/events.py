@@ -2,10 +2,13 @@
 
 Each run reads what is there (``availableNow``) and writes its complete result
 as Parquet into the shared folder, where its checkpoint is too; the rows don't
-pass the driver.  The mode is complete, so an event that comes behind the
+pass the driver.  Windows run in complete mode, so an event that comes behind the
 watermark counts like any other; session windows drop such events even in
-this mode, so sessions have no watermark.  Event times are cast to instants, as
-watermarks need them.
+this mode, so sessions have no watermark.  Streams that keep rows or keys
+(de-duplication, joins, tallies) take the delay that they allow for: what comes later is
+dropped, and state older than it is let go.  Over a finite table the queries
+allow for its whole span, as its files may come in any order.  Event times are
+cast to instants, as watermarks need them.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
 from ..session import shared_folder, table
+from . import tally
 
 
 def source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,30 +31,29 @@ def source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.option("maxFilesPerTrigger", 16).parquet(f"{sf_dir}/events.parqu[e]t").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def whole_span(spark: SparkSession, sf_dir: str) -> str:
+    """A delay that no event of the table exceeds, whatever order its files come in."""
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000
+    found = table(spark, sf_dir, "events").agg(F.ceil(F.max(seconds) - F.min(seconds)).alias("s")).first().s
+    return f"{(found or 0) + 1} seconds"
 
 
 def complete(result: DataFrame) -> DataFrame:
     """The result of a stream after all that there is to read."""
     spark = result.sparkSession
     folder = f"{shared_folder(spark)}/stream_{uuid.uuid4().hex}"
-    whole: list[str] = []  # each batch writes the result anew; only the last one's stays
+    last: list[str] = []  # each batch writes the result anew, over that of the batch before the last
 
     def write(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(path := f"{folder}/batch-{batch}")
-        for old in whole:
-            if old != path:
-                _delete(spark, old)
-        whole[:] = [path]
+        rows.write.mode("overwrite").parquet(path := f"{folder}/rows-{batch % 2}")
+        last[:] = [path]
 
     query = result.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return spark.read.schema(result.schema).parquet(whole[0]) if whole else spark.createDataFrame([], result.schema)
+    return spark.read.schema(result.schema).parquet(last[0]) if last else spark.createDataFrame([], result.schema)
 
 
 def _window(bounds: str = "window") -> list:
@@ -108,42 +111,37 @@ def updated(result: DataFrame, keys: list[str]) -> DataFrame:
     return whole.groupBy(*keys).agg(F.max_by(F.struct(*columns), "_batch").alias("_last")).select(*keys, "_last.*")
 
 
+def deduplicated(events: DataFrame, keys: list[str], delay: str, time: str = "ts") -> DataFrame:
+    """One row for each value of ``keys``; a key is remembered for ``delay`` of event time, and rows later than that are dropped."""
+    return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+
+
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's types of a day once; what is remembered is let go a week behind the newest event, and later repeats would count again."""
+    """Each user's types of a day once."""
     day = F.date_trunc("day", F.col("ts"))
-    own = source(spark, sf_dir).withWatermark("ts", "7 days").withColumn("day", day).dropDuplicatesWithinWatermark(["user_id", "event_type", "day"])
+    own = deduplicated(source(spark, sf_dir).withColumn("day", day), ["user_id", "event_type", "day"], whole_span(spark, sf_dir))
     return appended(own.select("user_id", "event_type", F.col("day").cast("timestamp_ntz").alias("day")))
 
 
 def stream_stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views and the same user's purchases within twelve hours after them; both sides forget what no row to come can meet."""
-    own = lambda kind, name: source(spark, sf_dir).filter(F.col("event_type") == kind).select(F.col("user_id").alias(f"{name}_user"), F.col("event_id").alias(f"{name}_id"), F.col("ts").alias(f"{name}_at")).withWatermark(f"{name}_at", "1 day")
+    delay = whole_span(spark, sf_dir)
+    own = lambda kind, name: source(spark, sf_dir).filter(F.col("event_type") == kind).select(F.col("user_id").alias(f"{name}_user"), F.col("event_id").alias(f"{name}_id"), F.col("ts").alias(f"{name}_at")).withWatermark(f"{name}_at", delay)
     views, bought = own("view", "view"), own("purchase", "purchase")
     on = F.expr("view_user = purchase_user AND purchase_at >= view_at AND purchase_at <= view_at + INTERVAL 12 HOURS")
     return appended(views.join(bought, on).select("view_id", "purchase_id"))
 
 
-def _tally(key, frames, state):
-    """Number, sum in hundredths and longest gap in seconds of a user's events so far."""
-    import pandas as pd
-
-    n, hundredths, last, longest = state.get if state.exists else (0, 0, None, 0)
-    rows = pd.concat(list(frames)).sort_values("ts")
-    seconds = (rows["ts"].astype("datetime64[us]").astype("int64") // 1_000_000).tolist()
-    for s in seconds:
-        if last is not None:
-            longest = max(longest, s - last)
-        last = s if last is None else max(last, s)
-    n, hundredths = n + len(rows), hundredths + int((rows["value"] * 100).round().sum())
-    state.update((n, hundredths, last, longest))
-    yield pd.DataFrame({"user_id": [key[0]], "n": [n], "hundredths": [hundredths], "longest_s": [longest]})
-
-
 def stream_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A running tally of each user in state of its own, which is four numbers whatever the user's history."""
-    own = source(spark, sf_dir).select("user_id", "ts", "value").groupBy("user_id")
-    tallies = own.applyInPandasWithState(_tally, "user_id long, n long, hundredths long, longest_s long", "n long, hundredths long, last long, longest long", "update", "NoTimeout")
-    return updated(tallies, ["user_id"])
+    """Each user's number of events, sum of values and longest gap, right for events in any order within the delay."""
+    tallies = tally.tallied(source(spark, sf_dir).select("user_id", "ts", "value"), whole_span(spark, sf_dir))
+    name, provider = tally.STORE
+    before = spark.conf.get(name)
+    spark.conf.set(name, provider)
+    try:
+        return updated(tallies, ["user_id"]).select("user_id", "n", "hundredths", "longest_s")
+    finally:
+        spark.conf.set(name, before)
 
 
 def stream_late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
