@@ -83,7 +83,7 @@ def test_tally_closes_days_and_drops_what_is_late(spark, tmp_path):
     finally:
         spark.conf.set(name, before)
     assert got[2] == (1, 100, 0)
-    assert got[1] == (7, 450, 5 * 86400 + 5)
+    assert got[1] == (7, 500, 5 * 86400 + 5)
 
 
 def test_longest_gap():

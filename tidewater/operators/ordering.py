@@ -5,20 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import durable
+
+#: A value with more than one in so many rows is hot; there are fewer of them than this.
+HOT_SHARE = 1000
+
 
 def running(rows: DataFrame, value: str, sums: dict[str, str]) -> DataFrame:
     """``(value, <name>...)``: for each different value, the sums (name to expression) over all rows up to and with it.
 
-    Rows are folded to different values first, so ties cost one row.  Values are
-    dealt to ordered ranges between quantiles; sums run inside the ranges, and the
-    totals of the ranges before (a row for each range) are added.
+    Rows are folded to different values first, and these are written, so ties cost one
+    row and the input is read once.  Values of any type that has an order are dealt
+    to ranges; sums run inside the ranges, and the totals of the ranges before (a row for each) are added.
     """
     spark = rows.sparkSession
-    ranges = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1000)
-    values = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(*[F.sum(F.expr(e)).alias(n) for n, e in sums.items()])
-    cuts = values.approxQuantile(value, [k / ranges for k in range(1, ranges)], 0.01) if ranges > 1 else []
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<double>"), lambda c: c < F.col(value)))
-    dealt = values.withColumn("_part", part)
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    values = durable(rows.filter(F.col(value).isNotNull()).groupBy(value).agg(*[F.sum(F.expr(e)).alias(n) for n, e in sums.items()]))
+    # the numbers of the ranges are written with the rows, as they depend on a sample
+    dealt = durable(values.repartitionByRange(ranges, value).withColumn("_part", F.spark_partition_id()))
     within = Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over at most `ranges` rows
     totals = dealt.groupBy("_part").agg(*[F.sum(n).alias(n) for n in sums]).select("_part", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_{n}") for n in sums])
@@ -26,10 +30,19 @@ def running(rows: DataFrame, value: str, sums: dict[str, str]) -> DataFrame:
 
 
 def ranked(rows: DataFrame, value: str, name: str = "place", descending: bool = True) -> DataFrame:
-    """``rows`` with the rank of ``value`` among all rows; equal values share the best place, a null has none."""
-    counted = running(rows, value, {"_upto": "1"})
-    here = rows.groupBy(value).agg(F.count("*").alias("_here"))
-    total = counted.agg(F.coalesce(F.max("_upto"), F.lit(0)).alias("_total"))
-    place = F.col("_total") - F.col("_upto") + 1 if descending else F.col("_upto") - F.col("_here") + 1
-    places = counted.join(here, value).crossJoin(F.broadcast(total)).select(value, place.cast("long").alias(name))
-    return rows.join(places, value, "left")
+    """``rows`` with the rank of ``value`` among all rows; equal values share the best place, a null has none.
+
+    ``value`` may be of any type that has an order.  Ranks of hot values, fewer than ``HOT_SHARE``, are sent
+    to their rows; only rows of other values are shuffled by value.
+    """
+    rows = durable(rows)
+    upto = running(rows, value, {"_upto": "1"})
+    here = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_here"))
+    total = rows.filter(F.col(value).isNotNull()).count()
+    place = F.lit(total) - F.col("_upto") + 1 if descending else F.col("_upto") - F.col("_here") + 1
+    places = durable(upto.join(here, value).select(F.col(value).alias("_value"), place.cast("long").alias(name), "_here"))
+    hot = F.col("_here") * HOT_SHARE > total
+    on = F.col(value) == F.col("_value")
+    near = rows.join(F.broadcast(places.filter(hot)), on, "left")
+    far = near.filter(F.col("_value").isNull()).select(*rows.columns).join(places.filter(~hot), on, "left")
+    return near.filter(F.col("_value").isNotNull()).unionByName(far).select(*rows.columns, name)

@@ -9,35 +9,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import durable
+from . import intervals
+
 
 def as_of_join(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, value_cols: list[str], tie_cols: list[str] = (), bucket: str = "day") -> DataFrame:
-    """``left`` with the ``value_cols`` of the last row of ``right`` at or before its time, null without one.
-
-    Both sides are united and swept once in time order, so the cost is one sort of
-    both, however many rows match; at equal times a row of ``right`` is visible,
-    and of several the greatest by ``tie_cols``.  The sweep runs within a key's
-    ``bucket`` of time, so a hot key is as many tasks as it has buckets; what
-    was known when a bucket began is carried over from the last row of each earlier
-    one, which is a row for each key and bucket.
+    """``left`` with the ``value_cols`` of the last row of ``right`` at or before its time, null without one, and for a null key or time.
+
+    Both sides are united, and the union is written once, so each is read once.  It is
+    swept in time order within a key's ``bucket`` of time; at equal times a row of
+    ``right`` is visible, and of several the greatest by ``tie_cols``.  So a hot key is as many tasks as it
+    has buckets, and what was known when a bucket began is carried over from the ends of the
+    earlier ones, a row for each key and bucket.
     """
     ties = [F.col(c).alias(f"_tie{i}") for i, c in enumerate(tie_cols)]
-    in_bucket = F.date_trunc(bucket, F.col("_at")).alias("_bucket")
-    told = right.filter(F.col(right_time).isNotNull()).select(F.col(by), F.col(right_time).alias("_at"), F.lit(0).alias("_side"), *ties, F.struct(*value_cols).alias("_known")).withColumn("_bucket", in_bucket)
-    asked = left.select(F.col(by), F.col(left_time).alias("_at"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row")).withColumn("_bucket", in_bucket)
     tie_names = [f"_tie{i}" for i in range(len(tie_cols))]
-    ends = told.groupBy(by, "_bucket").agg(F.max_by("_known", F.struct("_at", *tie_names)).alias("_end"))
-    carried = _carry(ends, asked.select(by, "_bucket").distinct(), by, F.last("_end", ignorenulls=True), "_carried")
-    sweep = Window.partitionBy(by, "_bucket").orderBy("_at", "_side", *tie_names).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = told.unionByName(asked, allowMissingColumns=True).withColumn("_last", F.last("_known", ignorenulls=True).over(sweep)).filter("_side = 1")
-    both = both.join(carried, both[by].eqNullSafe(carried[by]) & both["_bucket"].eqNullSafe(carried["_bucket"]), "left").select(both["_row"], F.coalesce(both["_last"], carried["_carried"]).alias("_last"))
-    return both.select("_row.*", *[F.col(f"_last.{c}").alias(c) for c in value_cols])
-
-
-def _carry(ends: DataFrame, wanted: DataFrame, by: str, over_earlier: Column, name: str) -> DataFrame:
-    """``(by, _bucket, name)`` for the ``wanted`` buckets: an aggregate over the rows of ``ends`` in the key's earlier buckets."""
-    rows = ends.unionByName(wanted.join(ends.select(by, "_bucket"), [by, "_bucket"], "left_anti"), allowMissingColumns=True)
-    earlier = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select(by, "_bucket", over_earlier.over(earlier).alias(name))
+    told = right.filter(F.col(right_time).isNotNull() & F.col(by).isNotNull()).select(F.col(by).alias("_by"), F.col(right_time).alias("_at"), F.lit(0).alias("_side"), *ties, F.struct(*value_cols).alias("_known"))
+    asked = left.select(F.col(by).alias("_by"), F.col(left_time).alias("_at"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"))
+    both = durable(told.unionByName(asked, allowMissingColumns=True).withColumn("_bucket", F.date_trunc(bucket, F.col("_at"))))
+    ends = both.groupBy("_by", "_bucket").agg(F.max_by("_known", F.when(F.col("_side") == 0, F.struct("_at", *tie_names))).alias("_end"))
+    earlier = Window.partitionBy("_by").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(F.col("_by").alias("_key"), F.col("_bucket").alias("_own"), F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+    sweep = Window.partitionBy("_by", "_bucket").orderBy("_at", "_side", *tie_names).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = both.withColumn("_last", F.last("_known", ignorenulls=True).over(sweep)).filter("_side = 1")
+    found = swept.join(carried, (F.col("_by") == F.col("_key")) & (F.col("_bucket") == F.col("_own")), "left").select("_row", F.coalesce("_last", "_carried").alias("_last"))
+    return found.select("_row.*", *[F.col(f"_last.{c}").alias(c) for c in value_cols])
 
 
 def running_before(rows: DataFrame, by: str, time: str, order: list[str], sums: dict[str, Column], bucket: str = "day") -> DataFrame:
@@ -107,11 +103,9 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str, columns: list[s
 def valid_at(rows: DataFrame, ids: DataFrame, keys: list[str], time_col: str) -> DataFrame:
     """``rows`` with the columns of ``ids`` whose half-open range (``valid_from``, ``valid_to``) holds the row's time, null without one.
 
-    The join is on ``keys``, the range is a condition on top; no identifier from a later time is seen.
+    An interval join on keys and buckets of time; a row for which several ranges are valid is there once for each.
     """
-    within = (rows[time_col] >= ids["valid_from"]) & (rows[time_col] < ids["valid_to"])
-    same = [rows[k] == ids[k] for k in keys]
-    return rows.join(ids, [*same, within], "left").drop(*[ids[k] for k in keys])
+    return intervals.within(rows, ids, keys, time_col, "valid_from", "valid_to")
 
 
 def nested_bounds(spark, first: str, days: int, count: int) -> DataFrame:

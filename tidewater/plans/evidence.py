@@ -25,9 +25,11 @@ FORECASTS = """f AS (SELECT event_id, user_id, ts, (1.0 + coalesce(sum(CASE WHEN
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "events").filter("event_type <> 'purchase'")
     late = F.make_dt_interval(F.lit(0), (F.col("event_id") % 7).cast("int"))
-    first = own.select("event_id", F.col("user_id").alias("entity"), F.col("ts").alias("observed_at"), (F.col("ts") + late).alias("available_at"), F.lit(0).alias("revision"), "value")
-    again = first.filter("event_id % 10 = 0").withColumns({"available_at": F.col("available_at") + F.expr("INTERVAL 24 HOURS"), "revision": F.lit(1), "value": F.col("value") + 1})
-    return first.unionByName(again)
+    first = own.select("event_id", F.col("user_id").alias("entity"), F.col("ts").alias("observed_at"), (F.col("ts") + late).alias("available_at"), "value")
+    told = F.struct("available_at", F.lit(0).alias("revision"), "value")
+    again = F.struct((F.col("available_at") + F.expr("INTERVAL 24 HOURS")).alias("available_at"), F.lit(1).alias("revision"), (F.col("value") + 1).alias("value"))
+    both = F.when(F.col("event_id") % 10 == 0, F.array(told, again)).otherwise(F.array(told))  # one scan for both
+    return first.select("event_id", "entity", "observed_at", F.explode(both).alias("o")).select("event_id", "entity", "observed_at", "o.*")
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
