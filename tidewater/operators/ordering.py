@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import durable
-
-#: A value with more than one in so many rows is hot; there are fewer of them than this.
-HOT_SHARE = 1000
+from . import skew
 
 
 def running(rows: DataFrame, value: str, sums: dict[str, str]) -> DataFrame:
@@ -32,17 +30,13 @@ def running(rows: DataFrame, value: str, sums: dict[str, str]) -> DataFrame:
 def ranked(rows: DataFrame, value: str, name: str = "place", descending: bool = True) -> DataFrame:
     """``rows`` with the rank of ``value`` among all rows; equal values share the best place, a null has none.
 
-    ``value`` may be of any type that has an order.  Ranks of hot values, fewer than ``HOT_SHARE``, are sent
-    to their rows; only rows of other values are shuffled by value.
+    ``value`` may be of any type that has an order.  Ranks of hot values are sent
+    to their rows; only rows of other values are shuffled by value (``skew.lookup``).
     """
     rows = durable(rows)
     upto = running(rows, value, {"_upto": "1"})
     here = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_here"))
     total = rows.filter(F.col(value).isNotNull()).count()
     place = F.lit(total) - F.col("_upto") + 1 if descending else F.col("_upto") - F.col("_here") + 1
-    places = durable(upto.join(here, value).select(F.col(value).alias("_value"), place.cast("long").alias(name), "_here"))
-    hot = F.col("_here") * HOT_SHARE > total
-    on = F.col(value) == F.col("_value")
-    near = rows.join(F.broadcast(places.filter(hot)), on, "left")
-    far = near.filter(F.col("_value").isNull()).select(*rows.columns).join(places.filter(~hot), on, "left")
-    return near.filter(F.col("_value").isNotNull()).unionByName(far).select(*rows.columns, name)
+    places = durable(upto.join(here, value).select(value, place.cast("long").alias(name)))
+    return skew.lookup(rows, places, value)

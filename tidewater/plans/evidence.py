@@ -146,31 +146,6 @@ def sessionize_gap(spark, sf_dir):
     return own.withColumn("session", F.sum("new").over(w)).groupBy("user_id", F.col("session").cast("long").alias("session")).agg(F.count("*").alias("n"), F.min("ts").alias("begin"), F.max("ts").alias("end"))
 
 
-#: Query vectors that are sent to the rows at once.
-QUERY_BLOCK = 1000
-
-
-def retrieval_topk(spark, sf_dir):
-    """Nearest five of each query vector (ids divisible by 100), by the dot product of unit vectors.
-
-    Queries are a stated set and go to the rows in blocks of ``QUERY_BLOCK``: a block is
-    an array of a bounded size in each task, and each task keeps the best five
-    of its own rows for a query before anything is shuffled.
-    """
-    own = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    queries = own.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("v").alias("q"))
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    dot = F.round(F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b), 6)
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    found = None
-    for k in range(blocks):
-        block = queries.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k)
-        pairs = own.join(F.broadcast(block), F.col("vec_id") != F.col("query")).select("query", "vec_id", dot.alias("score"))
-        top = pairs.withColumn("r", F.row_number().over(best)).filter("r <= 5").drop("r")
-        found = top if found is None else found.unionByName(top)
-    return found
-
-
 def json_extract(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"))
 
@@ -213,7 +188,6 @@ QUERIES = {
     "mc_simulation": mc_simulation,
     "drift_psi": drift_psi,
     "sessionize_gap": sessionize_gap,
-    "retrieval_topk": retrieval_topk,
     "json_extract": json_extract,
     "title_policy": title_policy,
 }
@@ -243,7 +217,6 @@ ORACLE = {
     "mc_simulation": f"WITH u AS (SELECT n_nationkey, {_U.format("'1:' || n_nationkey || ':' || draw")} AS own, {_U.format("'2:' || draw")} AS shared FROM nation, range(500) t(draw)) SELECT n_nationkey, round(avg(own), 9) AS mean, round(avg(CASE WHEN own + shared > 1 THEN 1.0 ELSE 0.0 END), 9)::DOUBLE AS joint FROM u GROUP BY n_nationkey",
     "drift_psi": "WITH b AS (SELECT least(floor(value / 10), 9) AS bin, count(*) FILTER (ts < TIMESTAMP '2024-01-16') AS a, count(*) FILTER (ts >= TIMESTAMP '2024-01-16') AS b FROM events GROUP BY 1), s AS (SELECT (a + 0.5::DOUBLE) / (sum(a) OVER () + 5) AS x, (b + 0.5::DOUBLE) / (sum(b) OVER () + 5) AS y FROM b) SELECT round(sum((y - x) * ln(y / x)), 6) AS psi FROM s",
     "sessionize_gap": "WITH s AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), t AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM s) SELECT user_id, session::BIGINT AS session, count(*)::BIGINT AS n, min(ts) AS begin, max(ts) AS \"end\" FROM t GROUP BY user_id, session",
-    "retrieval_topk": "WITH p AS (SELECT q.vec_id AS query, e.vec_id, round(list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id) SELECT query, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS r FROM p) x WHERE r <= 5",
     "json_extract": "SELECT props ->> '$.k' AS k, count(*)::BIGINT AS n FROM events GROUP BY 1",
     "title_policy": r"SELECT title, regexp_full_match(title, '(?:feat|fix|docs|style|refactor|perf|test|build|ci|chore|revert)(?:\([a-z0-9][a-z0-9._/-]*\))?!?: [a-z0-9][^\n]{2,72}') AND length(title) <= 100 AS valid FROM (VALUES " + ", ".join("('" + t.replace("\n", "' || chr(10) || '") + "')" for t in TITLES) + ") t(title)",
 }
