@@ -46,9 +46,9 @@ def quantiser(rows: DataFrame, lists: int | None = None) -> np.ndarray:
     share = min(1.0, 1.5 * size / max(n, 1))
     place = F.xxhash64("id")
     chosen = rows.filter(F.pmod(place, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(place, "id").limit(size).select("v").collect()
-    v = np.array([r.v for r in chosen], dtype=np.float64).reshape(len(chosen), -1)
-    if not len(v):
+    if not chosen:
         return np.zeros((1, 0))
+    v = np.array([r.v for r in chosen], dtype=np.float64)
     centres = v[np.linspace(0, len(v) - 1, min(lists, len(v))).astype(int)].copy()
     for _ in range(ROUNDS):
         own = nearest(v, centres, 1)[:, 0]
