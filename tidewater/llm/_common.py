@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task's vectorised step works on at once; one longer text is taken alone.
@@ -164,3 +164,23 @@ def join_counted(rows: DataFrame, counted: DataFrame, on: list[str], n: str = "n
     cold = counted.filter(F.col(n) * HOT_SHARE <= total)
     near = rows.join(F.broadcast(hot), on)
     return near.unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold.hint("merge"), on))
+
+
+#: Words of 64 bits that tell which rows may be suspects; their number bounds what is sent to tasks.
+FILTER_WORDS = 1 << 20
+
+
+def suspects(rows: DataFrame, hashed: Column, hashes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two parts: those whose 64-bit ``hashed`` may be among ``hashes`` (column ``h``), and those whose isn't.
+
+    The hashes set one bit each of a filter of ``FILTER_WORDS`` words, which is sent to
+    the rows.  Many hashes only fill it, so that more rows are in the first part.
+    """
+    word, bit = F.pmod(F.col("h"), F.lit(FILTER_WORDS)), F.shiftrightunsigned(F.col("h"), 50).cast("int")
+    one = lambda b: F.expr(f"shiftleft(1L, {b} & 63)")
+    own, word_name, bits, shift = (free_name(rows, c) for c in ("_h", "_word", "_bits", "_shift"))
+    filled = durable(hashes.select(word.alias(word_name), bit.alias("_bit")).groupBy(word_name).agg(F.bit_or(one("_bit")).alias(bits)))
+    marked = rows.withColumn(own, hashed).withColumn(shift, F.shiftrightunsigned(F.col(own), 50).cast("int"))
+    marked = marked.join(F.broadcast(filled), F.pmod(F.col(own), F.lit(FILTER_WORDS)) == F.col(word_name), "left")
+    may = F.coalesce(F.col(bits).bitwiseAND(one(f"`{shift}`")) != 0, F.lit(False))
+    return marked.filter(may).select(*rows.columns), marked.filter(~may).select(*rows.columns)

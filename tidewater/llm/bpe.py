@@ -456,11 +456,14 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
-    """``tokens`` and a binary column with the bytes of the ids; null ids give null."""
+    """``tokens`` and, last, a binary column with the bytes of the ids; null ids give null.
+
+    If ``tokens`` has a column ``name``, it stays and the new one gets underscores before its name.
+    """
 
     def rows(batch: pa.RecordBatch) -> list[dict]:
         own = codec(path)
         return [{"bytes": None if ids is None else own.decode(np.array(ids, dtype=np.int64))} for ids in batch.column(0).to_pylist()]
 
-    held = common.free_name(tokens, "_decoded")
+    held, name = common.free_name(tokens, "_held"), common.free_name(tokens, name)
     return common.append_struct(tokens, rows, [ids_col], "bytes binary", held).withColumn(name, F.col(f"{held}.bytes")).drop(held)

@@ -40,9 +40,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, value:
     sizes = marked.select("_id", "_label", "_key", F.length("_text").alias("_n"), F.xxhash64("_id").alias("_order")).orderBy("_order", "_id", "_label", "_key").limit(rows + 1).collect()
     taken, total = Counter(), 0
     for r in sizes[:rows]:
+        if total + r._n > chars:  # a text that doesn't fit leaves room for the others
+            continue
         total += r._n
-        if total > chars:
-            break
         taken[r._id, r._label, r._key] += 1
     if not taken:
         return [], []

@@ -186,12 +186,16 @@ def marked(docs: DataFrame, name: str = "runs", id_col: str = "doc_id", text_col
     """``docs`` and, last, an array of ranges (first, last) of the lines to delete, null where nothing goes.
 
     If ``docs`` has a column ``name``, the new one gets underscores before its name.
+    Only documents that may have such lines are shuffled (``common.suspects``).
     """
-    found = repeated(docs, id_col, text_col, min_words)
+    found = common.durable(repeated(docs, id_col, text_col, min_words))
+    name = common.free_name(docs, name)
     run_id, run_key, run = (common.free_name(docs, c) for c in ("_run_id", "_run_key", "_runs"))
     runs = found.select(F.col("id").alias(run_id), F.col("key").alias(run_key), F.col("runs").alias(run))
-    on = docs[id_col].cast("long").eqNullSafe(F.col(run_id)) & (F.xxhash64(docs[text_col].cast("string")) == F.col(run_key))
-    return docs.join(runs.hint("shuffle_hash"), on, "left").select(*[docs[c] for c in docs.columns], F.col(run).alias(common.free_name(docs, name)))
+    row_id, row_key = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))
+    asked, clean = common.suspects(docs, F.xxhash64(row_id, row_key), found.select(F.xxhash64("id", "key").alias("h")))
+    met = asked.join(runs.hint("shuffle_hash"), row_id.eqNullSafe(F.col(run_id)) & (row_key == F.col(run_key)), "left").select(*docs.columns, F.col(run).alias(name))
+    return met.unionByName(clean.withColumn(name, F.lit(None).cast(met.schema[name].dataType)))
 
 
 def kept_lines(text: F.Column, runs: F.Column) -> F.Column:
