@@ -40,3 +40,14 @@ def ranked(rows: DataFrame, value: str, name: str = "place", descending: bool =
     place = F.lit(total) - F.col("_upto") + 1 if descending else F.col("_upto") - F.col("_here") + 1
     places = durable(upto.join(here, value).select(value, place.cast("long").alias(name)))
     return skew.lookup(rows, places, value)
+
+
+def group_frames(rows: DataFrame, by: list[str], order: list, preceding: int, following: int, values: dict) -> DataFrame:
+    """``rows`` with aggregates (name to expression) over frames of peer groups: those from ``preceding`` before a row's own to ``following`` after.
+
+    Rows with equal ``order`` are one group, as are those with nulls; a negative number moves an end to the other side.
+    A frame of groups is a range of the groups' numbers.
+    """
+    numbered = rows.withColumn("_group", F.dense_rank().over(Window.partitionBy(*by).orderBy(*order)))
+    frame = Window.partitionBy(*by).orderBy("_group").rangeBetween(-preceding, following)
+    return numbered.select(*rows.columns, *[c.over(frame).alias(n) for n, c in values.items()])
