@@ -164,3 +164,39 @@ def test_held_out_lines_of_the_labelled_table():
             found = {(k, a, b) for _, k, a, b in pii.added_spans(model, raw, np.array([0, len(raw)]))}
             wanted, got, exact = wanted + len(spans), got + len(found), exact + len(found & spans)
     assert exact / got > 0.9 and exact / wanted > 0.85
+
+
+#: Lines with other cue words than the labelled table's; after the bar the span.
+OTHER_CUES = """Kindly forward the parcel to Ruth Alder before noon.|Ruth Alder
+Met with Dr. Simon Frost yesterday about the roof.|Dr. Simon Frost
+Author: Helen March|Helen March
+cc: Victor Lane|Victor Lane
+Best wishes, Paula Young|Paula Young
+Please ring 617-555-0193 after lunch.|617-555-0193
+Our desk answers on (503) 555-0177 until six.|(503) 555-0177
+Dial 303.555.0122 for the night porter.|303.555.0122
+Her SSN was 412-55-9081 according to the file.|412-55-9081
+Passport: K8123456 expires soon.|K8123456
+Reach him via tom at river dot org, he said.|tom at river dot org
+Send drafts: anna dot bell at mill dot net|anna dot bell at mill dot net
+The clerk, Mr. Owen Hart, signed for it.|Mr. Owen Hart
+Thanks, Julia Barnes|Julia Barnes
+Hotline 555-0148 is open.|555-0148"""
+
+
+def test_recall_with_other_cue_words(model):
+    """11 of 15 are found whole: numbers without a cue that the table has are missed."""
+    found = 0
+    for line in OTHER_CUES.split("\n"):
+        text, want = line.split("|")
+        raw = text.encode()
+        found += want in [raw[a:b].decode() for _, _, a, b in pii.added_spans(model, np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))]
+    assert found >= 11
+
+
+def test_few_marks_on_prose_of_invented_words(model):
+    import duckdb
+
+    texts = [t or "" for (t,) in duckdb.connect().execute("SELECT text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall()]
+    names = sum(k == "name" for t in texts for _, k, _, _ in pii.added_spans(model, np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])))
+    assert names <= sum(len(t.split()) for t in texts) / 25_000

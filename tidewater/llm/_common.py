@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task's vectorised step works on at once; one longer text is taken alone.
@@ -184,3 +184,20 @@ def suspects(rows: DataFrame, hashed: Column, hashes: DataFrame) -> tuple[DataFr
     marked = marked.join(F.broadcast(filled), F.pmod(F.col(own), F.lit(FILTER_WORDS)) == F.col(word_name), "left")
     may = F.coalesce(F.col(bits).bitwiseAND(one(f"`{shift}`")) != 0, F.lit(False))
     return marked.filter(may).select(*rows.columns), marked.filter(~may).select(*rows.columns)
+
+
+def keep_first(docs: DataFrame, judged: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows that ``judged`` (id, key, stays; a row for each, ``key`` being the text's hash) lets go, and one of each set of rows with equal ids and texts.
+
+    That one is the first by a hash of all its columns.  Rows without an id all stay.  Only rows that may go are shuffled.
+    """
+    own_id, own_key, verdict, place = (free_name(docs, c) for c in ("_id", "_key", "_stays", "_place"))
+    found = judged.groupBy("id", "key").agg(F.count("*").alias("n"), F.max("stays").alias("stays")).filter("n > 1 OR NOT stays")
+    found = durable(found.select(F.col("id").alias(own_id), F.col("key").alias(own_key), F.col("stays").alias(verdict)))
+    row_id, row_key = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))
+    asked, sure = suspects(docs.filter(F.col(id_col).isNotNull()), F.xxhash64(row_id, row_key), found.select(F.xxhash64(own_id, own_key).alias("h")))
+    order = Window.partitionBy(row_id, row_key).orderBy(F.xxhash64(*[F.col(c).cast("string") if k.startswith("map") else F.col(c) for c, k in docs.dtypes]))
+    met = asked.join(found, (row_id == F.col(own_id)) & (row_key == F.col(own_key)), "left")
+    alone = met.filter(F.col(verdict).isNull()).select(*docs.columns)
+    one = met.filter(F.col(verdict)).withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).select(*docs.columns)
+    return sure.unionByName(alone).unionByName(one).unionByName(docs.filter(F.col(id_col).isNull()))

@@ -37,7 +37,7 @@ from . import _common as common
 LEAF_CHARS = 16_384
 LEAF_BYTES = 64
 #: Pieces that a worker remembers; the memory is emptied when full.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 
 # Code points with the property White_Space (fixed values).
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -445,7 +445,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     ``ids_sha256`` is the digest of the decimal ids joined by commas,
     ``decoded_sha256`` that of the bytes which the ids decode to, so a round
-    trip can be checked without them.  Without ``with_ids``, ``ids`` is null.
+    trip can be checked without them.  Without ``with_ids``, ``ids`` is null.  Repeated
+    rows have a row each, an empty table has none; other columns are not read, so their names can't clash.
     """
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 

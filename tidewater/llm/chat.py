@@ -29,7 +29,9 @@ and conversations that many others equal, are sent to by broadcast.
 
 Null texts and roles are empty; rows of one conversation are ordered by turn,
 then role, then text, and repeated ones are kept.  Rows with a null
-conversation id are one conversation.
+conversation id are one conversation.  A conversation, with its very long texts,
+is one row.  An empty table gives an empty stream; other columns than the four
+named ones are not read, so their names can't clash.
 """
 
 from __future__ import annotations

@@ -167,7 +167,7 @@ def _union(ranges) -> list[tuple[int, int]]:
 
 def matchers(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> Iterator[Matcher]:
     """A matcher for each block of items, each of about ``block_chars`` characters; one block at a time is collected."""
-    own = items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).distinct()
+    own = common.durable(items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).distinct())
     chars = own.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = -(-chars // block_chars) or 1
     place = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))

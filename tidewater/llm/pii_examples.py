@@ -150,29 +150,34 @@ It fell. Then rain came. Most left. Some stayed. All slept.
 Once. Twice. More often. Never again. So it went. Enough.
 Mill, Bridge, Tower and Station are old places.
 Stone. River. Over there. Under it, Beside. Again it rained.
-Word Word Word Word Word Word Word Word
-Again Again Again Again
-Mill Mill Mill Mill Mill Mill
+Row row row your boat, gently down the stream.
+Never, never, never give in.
+No, no, No. Stop, Stop there.
 This work is licensed under the GNU General Public License, version 3.
 The General Public Library and the Old Garden are open.
 It ended. Rain fell on the Mill. Stone by stone it went.
 River. Bridge. Tower. It was Over. Then Came rain.
 Long ago. Ships came. Others left. Few stayed, Some slept.
-Über Über Über Über Über
+Sehr, sehr, sehr weit. Immer Wieder.
 was Was. Thing is. Was. Over and. From. Once. Her
-THE RIVER!! RAN!! PAST!! THE!! OLD!! MILL,!! AS.!! IT!! HAD!!
-SO!! IT!! GOES.!! ON!! AND!! ON,!! FOR!! EVER.!!
+CHAPTER ONE: THE LONG ROAD HOME
+WARNING! HOT SURFACE! DO NOT TOUCH!
 MANY PEOPLE CAME AND THEN. THEY WENT, AGAIN
-the%%% river*** ran$$$ past### the&&& old%%% mill,*** as.$$$ it###
-it,&&& rained%%% for*** three$$$ days.### And&&& then%%% stopped***
-Old%%% mills*** stood$$$ there,### by.&&& The%%% river***
-mill | river | bridge | tower | Station | Stone. | old,
-Early | in | the | morning | They | left.
+Total: 40 % of 200 $ & tax, see page *12*.
+* Milk * Bread * Eggs (large) # shopping
+| Year | Sales | Profit |
+Home > Products > Garden > Tools
+def area(width, height): return width * height
+if (Count > 0) { Total += Count; }
+Who? What? When? Where? Why?
+Red, Green, Blue, Yellow and Black were left.
+Open Monday to Friday, closed on Sunday.
 nothing's left-over; well, "so" (they) said: 'go'
 Blätter fielen. Über Nacht kam Schnee. Öde lag das Land.
 Él vino. Ñu corre. Así es. École. Être ici. À demain.
 Über. Ähnlich Öl. Der Über Österreich. Été. Île. É.
 von der Große. Der alte Über. Ünd, Éa, Ös
-und%%% über*** größe$$$ é### ñandú&&& êtres,%%% ça.***
-ÜBER!! GRÖSSE!! ÉTÉ,!! ÑU!! ÇA.!! ÖL!!
+ACHTUNG! GLEIS DREI! ZUG FÄHRT EIN!
+Der Zug nach Wien fährt um acht. Die Straße ist Gesperrt.
+La Casa Vieja y el Río. ¡Hola! ¿Qué tal?
 """

@@ -161,12 +161,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each group: that of the smallest id, and one of several rows with this id.
+    """``docs`` with one row of each group: that of the smallest id, and of several texts of this id the one with the smallest hash.
 
-    Rows without an id can't stand for a group or be told apart; they all stay.
+    Of rows with equal ids and texts one stays.  Rows without an id can't stand for a group or be told apart; they all stay.
     """
-    named = docs.filter(F.col(id_col).isNotNull())
-    found = near_duplicates(named, id_col, text_col, **options)
-    least = found.filter("id = component").select(F.col("id").alias(free := common.free_name(docs, "_least"))).distinct()
-    kept = named.join(least, named[id_col].cast("long") == least[free], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    text = F.col(text_col).cast("string")
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    numbered = rows.withColumn("number", F.xxhash64("id", "key"))  # rows of one id with different texts have numbers of their own
+    found = common.durable(near_duplicates(numbered, "number", "text", **options).select(F.col("id").alias("number"), "component").distinct())
+    placed = common.durable(numbered.select("id", "key", "number").join(found, "number"))
+    least = placed.groupBy("component").agg(F.min(F.struct("id", "key")).alias("least"), F.count("*").alias("n"))
+    judged = common.join_counted(placed, common.durable(least), ["component"])
+    return common.keep_first(docs, judged.select("id", "key", (F.struct("id", "key") == F.col("least")).alias("stays")), id_col, text_col)
