@@ -37,7 +37,7 @@ from . import _common as common
 LEAF_CHARS = 16_384
 LEAF_BYTES = 64
 #: Pieces that a worker remembers; the memory is emptied when full.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 # Code points with the property White_Space (fixed values).
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
