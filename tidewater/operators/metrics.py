@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
+from . import ordering, skew
+
 CLIP = 1e-15
 
 
@@ -51,8 +54,15 @@ def block_bootstrap(blocks: DataFrame, draws: int, seed: int, total: str = "tota
 
 
 def holm(tests: DataFrame, p: str = "p", name: str = "test") -> DataFrame:
-    """Holm's step-down adjusted p-values."""
-    order = Window.orderBy(p, name)
-    m = F.count("*").over(Window.partitionBy())
-    steps = tests.withColumn("_step", F.least(F.lit(1.0), F.col(p) * (m - F.row_number().over(order) + 1)))
-    return steps.withColumn("p_holm", F.max("_step").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
+    """``tests`` with Holm's step-down adjusted ``p_holm``; a null p has none and doesn't count.
+
+    Equal p-values have one adjusted value, that of the first of them, so tests are folded to different values, whose
+    ranks and running greatest steps go by ranges: no order of all tests runs through one task.
+    """
+    tests = durable(tests)
+    known = tests.filter(F.col(p).isNotNull())
+    here = known.groupBy(p).agg(F.count(F.lit(1)).alias("_here"))
+    m = known.count()
+    upto = ordering.running(known, p, {"_upto": "1"}).join(here, p)
+    steps = upto.select(p, F.least(F.lit(1.0), F.col(p) * (m - (F.col("_upto") - F.col("_here")))).alias("_step"))
+    return skew.lookup(tests, durable(ordering.running(steps, p, {"p_holm": "_step"}, largest=True)), p)

@@ -9,22 +9,24 @@ from ..session import durable
 from . import skew
 
 
-def running(rows: DataFrame, value: str, sums: dict[str, str]) -> DataFrame:
-    """``(value, <name>...)``: for each different value, the sums (name to expression) over all rows up to and with it.
+def running(rows: DataFrame, value: str, sums: dict[str, str], largest: bool = False) -> DataFrame:
+    """``(value, <name>...)``: for each different value, the sums (name to expression) over all rows up to and with it; with ``largest`` the greatest instead.
 
     Rows are folded to different values first, and these are written, so ties cost one
     row and the input is read once.  Values of any type that has an order are dealt
     to ranges; sums run inside the ranges, and the totals of the ranges before (a row for each) are added.
     """
     spark = rows.sparkSession
+    fold = F.max if largest else F.sum
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    values = durable(rows.filter(F.col(value).isNotNull()).groupBy(value).agg(*[F.sum(F.expr(e)).alias(n) for n, e in sums.items()]))
+    values = durable(rows.filter(F.col(value).isNotNull()).groupBy(value).agg(*[fold(F.expr(e)).alias(n) for n, e in sums.items()]))
     # the numbers of the ranges are written with the rows, as they depend on a sample
     dealt = durable(values.repartitionByRange(ranges, value).withColumn("_part", F.spark_partition_id()))
     within = Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over at most `ranges` rows
-    totals = dealt.groupBy("_part").agg(*[F.sum(n).alias(n) for n in sums]).select("_part", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_{n}") for n in sums])
-    return dealt.join(F.broadcast(totals), "_part").select(value, *[(F.sum(n).over(within) + F.col(f"_{n}")).alias(n) for n in sums])
+    totals = dealt.groupBy("_part").agg(*[fold(n).alias(n) for n in sums]).select("_part", *[fold(n).over(before).alias(f"_{n}") for n in sums])
+    both = lambda own, earlier: F.greatest(own, earlier) if largest else own + F.coalesce(earlier, F.lit(0))
+    return dealt.join(F.broadcast(totals), "_part").select(value, *[both(fold(n).over(within), F.col(f"_{n}")).alias(n) for n in sums])
 
 
 def ranked(rows: DataFrame, value: str, name: str = "place", descending: bool = True) -> DataFrame:

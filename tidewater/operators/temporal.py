@@ -69,7 +69,7 @@ def fold_bounds(spark, first: str, days: int, count: int, expanding: bool, embar
     start = F.to_timestamp_ntz(F.lit(first))
     step = lambda k: F.make_dt_interval(k * days)
     k = F.col("fold")
-    return spark.range(1, count + 1).select(F.col("id").cast("int").alias("fold")).select(
+    return spark.range(1, max(count, 0) + 1).select(F.col("id").cast("int").alias("fold")).select(
         "fold",
         (start if expanding else start + step(k - 1)).alias("train_from"),
         (start + step(k) - F.make_dt_interval(F.lit(embargo_days))).alias("train_to"),
@@ -111,5 +111,5 @@ def valid_at(rows: DataFrame, ids: DataFrame, keys: list[str], time_col: str) ->
 def nested_bounds(spark, first: str, days: int, count: int) -> DataFrame:
     """``(outer, inner, valid_from, valid_to)``: the inner folds before the test part of each outer fold from the second on; they train on all that is before their validation."""
     start = F.to_timestamp_ntz(F.lit(first))
-    folds = spark.range(2, count + 1).select(F.col("id").cast("int").alias("outer")).select("outer", F.explode(F.sequence(F.lit(1), F.col("outer") - 1)).alias("inner"))
+    folds = spark.range(2, max(count, 1) + 1).select(F.col("id").cast("int").alias("outer")).select("outer", F.explode(F.sequence(F.lit(1), F.col("outer") - 1)).alias("inner"))
     return folds.select("outer", "inner", (start + F.make_dt_interval(F.col("inner") * days)).alias("valid_from"), (start + F.make_dt_interval((F.col("inner") + 1) * days)).alias("valid_to"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import decision, metrics, ordering, temporal
 from ..session import table
-from .evidence import FORECASTS, forecasts
+from .evidence import FORECASTS, WEEKS_SQL, forecasts, whole_weeks
 
 START = "2024-01-01 00:00:00"
 
@@ -29,10 +29,11 @@ def _week():
 
 
 def entity_valid_at(spark, sf_dir):
-    """Identifiers of a user change weekly for four weeks; an event carries the one that was valid at its time, or none."""
+    """Identifiers of a user change weekly for as many whole weeks as the table has; an event carries the one that was valid at its time, or none."""
     users = _events(spark, sf_dir).select("user_id").distinct()
+    weeks = _events(spark, sf_dir).agg(F.floor((F.datediff(F.max("ts"), F.lit("2024-01-01")) + 1) / 7).cast("int").alias("n"))
     week = F.make_dt_interval(F.col("k") * 7)
-    ids = users.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).select(
+    ids = users.crossJoin(F.broadcast(weeks)).filter("n > 0").select("user_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k")).select(
         "user_id", (F.col("user_id") * 100 + F.col("k")).alias("code"), (_ntz(START) + week).alias("valid_from"), (_ntz(START) + week + F.make_dt_interval(F.lit(7))).alias("valid_to")
     )
     return temporal.valid_at(_events(spark, sf_dir), ids, ["user_id"], "ts").select("event_id", "code")
@@ -118,8 +119,8 @@ def switch_penalty_utility(spark, sf_dir):
 
 
 def picks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Squads by rule: every seventh part, in five squads."""
-    return table(spark, sf_dir, "part").filter("p_partkey % 7 = 0").select((F.col("p_partkey") % 5).alias("squad"), "p_partkey", "p_brand", "p_type", F.round(F.col("p_retailprice") * 10).cast("long").alias("tenths"))
+    """Squads by rule: all parts, in five squads."""
+    return table(spark, sf_dir, "part").select((F.col("p_partkey") % 5).alias("squad"), "p_partkey", "p_brand", "p_type", F.round(F.col("p_retailprice") * 10).cast("long").alias("tenths"))
 
 
 CONSTRAINTS = [("v1", "brand", "Brand#1", 0, 0), ("v1", "brand", "Brand#2", 1, 2), ("v1", "type", "SMALL", 3, 4), ("v1", "type", "ECONOMY", 0, 500), ("v1", "type", "NOT THERE", 1, 9), ("v1", "price", "all", 0, 60000)]
@@ -158,7 +159,7 @@ def seed_median(spark, sf_dir):
 
 def nested_folds(spark, sf_dir):
     """Inner folds inside the training part of each outer fold."""
-    folds = temporal.nested_bounds(spark, START, 7, 3)
+    folds = temporal.nested_bounds(spark, START, 7, whole_weeks(spark, sf_dir) - 1)
     rows = _events(spark, sf_dir).select("event_id", "ts", "value")
     found = rows.join(F.broadcast(folds), F.col("ts") < F.col("valid_to")).withColumn("part", F.when(F.col("ts") >= F.col("valid_from"), "validation").otherwise("train"))
     return found.groupBy("outer", "inner", "part").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.max("ts").alias("last"))
@@ -179,7 +180,7 @@ _W = "CAST(floor(date_diff('day', DATE '2024-01-01', ts::DATE) / 7.0) AS INT)"
 _GRAMS = """SELECT DISTINCT {key}, array_to_string(ws[i:i + 7], ' ') AS gram FROM (SELECT {key}, ws, unnest(range(1, len(ws) - 6)) AS i FROM (SELECT {key}, list_filter(string_split_regex(lower(text), '[ \\t\\n\\r]+'), lambda x: x <> '') AS ws FROM {table}) x) y"""
 _PAST10 = "(1.0 + coalesce(sum(y) OVER v, 0)) / (5.0 + count(*) OVER v) AS q"
 ORACLE = {
-    "entity_valid_at": "WITH u AS (SELECT DISTINCT user_id FROM events), m AS (SELECT user_id, user_id * 100 + k AS code, TIMESTAMP '2024-01-01' + to_days((7 * k)::INT) AS a, TIMESTAMP '2024-01-01' + to_days((7 * k + 7)::INT) AS b FROM u, range(4) t(k)) SELECT event_id, code FROM events e LEFT JOIN m ON m.user_id = e.user_id AND ts >= a AND ts < b",
+    "entity_valid_at": "WITH u AS (SELECT DISTINCT user_id FROM events), m AS (SELECT user_id, user_id * 100 + k AS code, TIMESTAMP '2024-01-01' + to_days((7 * k)::INT) AS a, TIMESTAMP '2024-01-01' + to_days((7 * k + 7)::INT) AS b FROM u, (SELECT unnest(range((date_diff('day', DATE '2024-01-01', max(ts)::DATE) + 1) // 7)) AS k FROM events) t) SELECT event_id, code FROM events e LEFT JOIN m ON m.user_id = e.user_id AND ts >= a AND ts < b",
     "temporal_split_check": "WITH s AS (SELECT 'by_id' AS split, ts, event_id % 5 = 0 AS test FROM events UNION ALL SELECT 'by_time', ts, ts >= TIMESTAMP '2024-01-20' FROM events) SELECT split, max(ts) FILTER (NOT test) AS train_to, min(ts) FILTER (test) AS test_from, max(ts) FILTER (NOT test) < min(ts) FILTER (test) AS supports FROM s GROUP BY split",
     "final_test_unlock_audit": "SELECT o_custkey AS experiment, count(*)::BIGINT AS unlocks, min(o_orderdate) AS first FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1 HAVING count(*) > 1",
     "contamination_ngram": f"WITH d AS ({_GRAMS.format(key='doc_id', table='documents')}), b AS ({_GRAMS.format(key='item_id', table='benchmark')}) SELECT doc_id, count(*)::BIGINT AS grams FROM d WHERE gram IN (SELECT gram FROM b) GROUP BY doc_id",
@@ -190,10 +191,10 @@ ORACLE = {
     "realised_value": "SELECT d.event_id AS decision_id, count(o.event_id)::BIGINT AS n, round(coalesce(sum(o.value), 0), 4) AS realised FROM events d LEFT JOIN events o ON o.user_id = d.user_id AND o.event_type <> 'purchase' AND o.ts > d.ts AND o.ts <= d.ts + INTERVAL 3 DAY WHERE d.event_type = 'purchase' GROUP BY d.event_id",
     "regret": f"WITH w AS (SELECT {_W} AS week, event_type, avg(value) AS mean FROM events GROUP BY ALL), o AS (SELECT a.week, a.event_type, b.mean AS expected, a.mean AS realised FROM w a JOIN w b ON b.week = a.week - 1 AND b.event_type = a.event_type) SELECT week, arg_max(event_type, expected) AS chosen, round(max(realised) - arg_max(realised, expected), 6) AS regret, count(*)::BIGINT AS options FROM o GROUP BY week",
     "switch_penalty_utility": "WITH s AS (SELECT user_id, value, CASE WHEN event_type <> lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 1 ELSE 0 END AS switch FROM events) SELECT user_id, round(sum(value - 4 * switch), 4) AS utility, sum(switch)::BIGINT AS switches FROM s GROUP BY 1",
-    "constraint_violations": "WITH k(rule_version, kind, grp, lo, hi) AS (VALUES " + ", ".join(map(str, CONSTRAINTS)) + "), p AS (SELECT p_partkey % 5 AS squad, * FROM part WHERE p_partkey % 7 = 0), a AS (SELECT squad, 'brand' AS kind, p_brand AS grp, count(*) AS n FROM p GROUP BY ALL UNION ALL SELECT squad, 'type', p_type, count(*) FROM p GROUP BY ALL UNION ALL SELECT squad, 'price', 'all', sum(round(p_retailprice * 10)::BIGINT) FROM p GROUP BY ALL), s AS (SELECT DISTINCT squad FROM p) SELECT s.squad, k.rule_version, k.kind, k.grp, coalesce(n, 0)::BIGINT AS actual, lo::BIGINT AS lo, hi::BIGINT AS hi FROM s CROSS JOIN k LEFT JOIN a ON a.squad = s.squad AND a.kind = k.kind AND a.grp = k.grp WHERE coalesce(n, 0) < lo OR coalesce(n, 0) > hi",
+    "constraint_violations": "WITH k(rule_version, kind, grp, lo, hi) AS (VALUES " + ", ".join(map(str, CONSTRAINTS)) + "), p AS (SELECT p_partkey % 5 AS squad, * FROM part), a AS (SELECT squad, 'brand' AS kind, p_brand AS grp, count(*) AS n FROM p GROUP BY ALL UNION ALL SELECT squad, 'type', p_type, count(*) FROM p GROUP BY ALL UNION ALL SELECT squad, 'price', 'all', sum(round(p_retailprice * 10)::BIGINT) FROM p GROUP BY ALL), s AS (SELECT DISTINCT squad FROM p) SELECT s.squad, k.rule_version, k.kind, k.grp, coalesce(n, 0)::BIGINT AS actual, lo::BIGINT AS lo, hi::BIGINT AS hi FROM s CROSS JOIN k LEFT JOIN a ON a.squad = s.squad AND a.kind = k.kind AND a.grp = k.grp WHERE coalesce(n, 0) < lo OR coalesce(n, 0) > hi",
     "metric_inputs_pit": "SELECT d.event_id AS decision_id, o.event_id AS input_id FROM events d JOIN events o ON o.event_id = d.event_id + CASE WHEN d.event_id % 2 = 0 THEN 1 ELSE -1 END WHERE d.event_type = 'purchase' AND o.ts > d.ts",
     "run_registry_gaps": "WITH r AS (SELECT o_custkey AS experiment, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS run FROM orders), k AS (SELECT * FROM r WHERE o_orderkey % 10 <> 3), m AS (SELECT experiment, unnest(range(1, max(run) + 1)) AS run FROM k GROUP BY experiment) SELECT experiment, run::BIGINT AS run FROM m WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.experiment = m.experiment AND k.run = m.run)",
     "seed_median": "WITH s AS (SELECT user_id, event_id % 5 AS seed, avg(value) AS score FROM events GROUP BY ALL) SELECT user_id, round(quantile_cont(score, 0.5), 6) AS median, round(max(score) - quantile_cont(score, 0.5), 6) AS optimism, count(*)::BIGINT AS seeds FROM s GROUP BY 1",
-    "nested_folds": "WITH b AS (SELECT o::INT AS outer_, i::INT AS inner_, TIMESTAMP '2024-01-01' + to_days((7 * i)::INT) AS a, TIMESTAMP '2024-01-01' + to_days((7 * i + 7)::INT) AS z FROM range(2, 4) x(o), range(1, 3) y(i) WHERE i < o) SELECT outer_ AS outer, inner_ AS inner, CASE WHEN ts >= a THEN 'validation' ELSE 'train' END AS part, count(*)::BIGINT AS n, round(avg(value), 6) AS mean, max(ts) AS last FROM events JOIN b ON ts < z GROUP BY ALL".replace(" AS outer,", ' AS "outer",').replace(" AS inner,", ' AS "inner",'),
+    "nested_folds": "WITH b AS (SELECT o::INT AS outer_, i::INT AS inner_, TIMESTAMP '2024-01-01' + to_days((7 * i)::INT) AS a, TIMESTAMP '2024-01-01' + to_days((7 * i + 7)::INT) AS z FROM (SELECT unnest(range(2, WEEKS)) AS o) x, (SELECT unnest(range(1, WEEKS - 1)) AS i) y WHERE i < o) SELECT outer_ AS outer, inner_ AS inner, CASE WHEN ts >= a THEN 'validation' ELSE 'train' END AS part, count(*)::BIGINT AS n, round(avg(value), 6) AS mean, max(ts) AS last FROM events JOIN b ON ts < z GROUP BY ALL".replace("WEEKS", WEEKS_SQL).replace(" AS outer,", ' AS "outer",').replace(" AS inner,", ' AS "inner",'),
     "one_se_rule": "WITH m AS (SELECT value, " + ", ".join(f"avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) AS m{n}" for n in (1, 3, 5, 10)) + " FROM events), e AS (" + " UNION ALL ".join(f"SELECT {n} AS complexity, (value - m{n}) * (value - m{n}) AS error FROM m WHERE m{n} IS NOT NULL" for n in (1, 3, 5, 10)) + "), s AS (SELECT complexity, avg(error) AS mean, stddev_samp(error) / sqrt(count(*)) AS se FROM e GROUP BY 1), b AS (SELECT min(complexity) AS c FROM s WHERE mean <= (SELECT min(mean) + arg_min(se, mean) FROM s)) SELECT complexity, round(mean, 4) AS mean, round(se, 4) AS se, complexity = c AS chosen FROM s, b",
 }

@@ -66,9 +66,15 @@ def embargo_filter(spark, sf_dir):
     return own.filter(temporal.visible(own, cut, 48)).groupBy("entity").agg(F.count("*").alias("n"), F.max("available_at").alias("latest"))
 
 
+def whole_weeks(spark: SparkSession, sf_dir: str) -> int:
+    """Whole weeks that the events have from the first Monday of 2024 on."""
+    days = table(spark, sf_dir, "events").agg(F.datediff(F.max("ts"), F.lit("2024-01-01")).alias("d")).first().d
+    return 0 if days is None else (days + 1) // 7
+
+
 def _folds(expanding):
     def query(spark, sf_dir):
-        folds = temporal.fold_bounds(spark, "2024-01-01 00:00:00", 7, 3, expanding, 1)
+        folds = temporal.fold_bounds(spark, "2024-01-01 00:00:00", 7, whole_weeks(spark, sf_dir) - 1, expanding, 1)
         rows = temporal.in_folds(table(spark, sf_dir, "events").select("event_id", "ts", "value"), folds, "ts")
         return rows.groupBy("fold", "part").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
@@ -76,7 +82,7 @@ def _folds(expanding):
 
 
 def fold_standardise(spark, sf_dir):
-    folds = temporal.fold_bounds(spark, "2024-01-01 00:00:00", 7, 3, True, 1)
+    folds = temporal.fold_bounds(spark, "2024-01-01 00:00:00", 7, whole_weeks(spark, sf_dir) - 1, True, 1)
     rows = temporal.standardise_in_folds(temporal.in_folds(table(spark, sf_dir, "events").select("event_id", "ts", "value"), folds, "ts"), "value")
     return rows.filter("part = 'test'").select("fold", "event_id", F.round("z", 6).alias("z"))
 
@@ -159,8 +165,9 @@ def title_policy(spark, sf_dir):
 
 TITLES = ["feat: add a thing", "fix(api): repair it", "docs!: rewrite all", "Feat: wrong case", "feat:missing blank", "feat: ab", "feat: abc", "research(x): not a type", "chore(a/b-c.d_e): fine one", "feat(A): bad scope", "feat: " + "x" * 95, "feat: " + "x" * 73, "feat: trailing\n", "", "ci: é is not plain", "ci: plain é is fine"]
 
-_FOLD_SQL = """WITH b AS (SELECT CAST(k AS INT) AS fold, TIMESTAMP '2024-01-01' + to_days(7 * (CAST(k AS INT) - 1)) * {rolling} AS train_from, TIMESTAMP '2024-01-01' + to_days(7 * CAST(k AS INT) - 1) AS train_to, TIMESTAMP '2024-01-01' + to_days(7 * CAST(k AS INT)) AS test_from, TIMESTAMP '2024-01-01' + to_days(7 * CAST(k AS INT) + 7) AS test_to FROM range(1, 4) t(k)),
-r AS (SELECT e.event_id, e.value, b.fold, CASE WHEN ts >= test_from THEN 'test' ELSE 'train' END AS part FROM events e JOIN b ON (ts >= train_from AND ts < train_to) OR (ts >= test_from AND ts < test_to))"""
+WEEKS_SQL = "(SELECT (date_diff('day', DATE '2024-01-01', max(ts)::DATE) + 1) // 7 FROM events)"
+_FOLD_SQL = """WITH b AS (SELECT CAST(k AS INT) AS fold, TIMESTAMP '2024-01-01' + to_days(7 * (CAST(k AS INT) - 1)) * {rolling} AS train_from, TIMESTAMP '2024-01-01' + to_days(7 * CAST(k AS INT) - 1) AS train_to, TIMESTAMP '2024-01-01' + to_days(7 * CAST(k AS INT)) AS test_from, TIMESTAMP '2024-01-01' + to_days(7 * CAST(k AS INT) + 7) AS test_to FROM (SELECT unnest(range(1, WEEKS)) AS k) t),
+r AS (SELECT e.event_id, e.value, b.fold, CASE WHEN ts >= test_from THEN 'test' ELSE 'train' END AS part FROM events e JOIN b ON (ts >= train_from AND ts < train_to) OR (ts >= test_from AND ts < test_to))""".replace("WEEKS", WEEKS_SQL)
 _FOLD_COUNT = " SELECT fold, part, count(*)::BIGINT AS n, round(avg(value), 6) AS mean FROM r GROUP BY fold, part"
 _U = "('0x' || substr(md5({}), 1, 8))::UBIGINT / 4294967296.0::DOUBLE"
 

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import lineage, ordering
-from ..session import table
+from ..operators import deletion, lineage, ordering, rules
+from ..session import durable, table
 from .evidence import OBSERVATIONS, observations
 
 FIELDS = ["owner", "licence", "cadence", "retention"]
@@ -27,10 +27,12 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("source", *[F.when(_hex("source", k) > "2", F.lit("given")).alias(f) for k, f in enumerate(FIELDS, start=1)])
 
 
+ADMISSION = [(f, f, "required", None) for f in FIELDS]
+
+
 def source_admission(spark, sf_dir):
     """Sources lacking a mandatory field, and the documents that stay out with them."""
-    missing = F.filter(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in FIELDS]), lambda x: x.isNotNull())
-    refused = sources(spark, sf_dir).select("source", F.array_join(missing, ",").alias("missing")).filter("missing <> ''")
+    refused = rules.broken(sources(spark, sf_dir), ADMISSION).select("source", F.array_join("broken", ",").alias("missing")).filter("missing <> ''")
     counts = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("documents"))
     return counts.join(refused, "source")
 
@@ -99,9 +101,11 @@ def claim_span_check(spark, sf_dir):
 
 
 def claim_corroboration(spark, sf_dir):
-    """Claims (a text's first 40 characters) that two sources or more make may be promoted."""
-    own = table(spark, sf_dir, "documents").select(F.md5(F.substring("text", 1, 40)).alias("claim"), "source")
-    found = own.groupBy("claim").agg(F.count_distinct("source").alias("sources"), F.count("*").alias("n"))
+    """Claims (sentences of whole texts) that two sources or more make may be promoted."""
+    sentences = F.transform(F.split("text", r"[.!?\n]+"), lambda x: F.trim(x))
+    own = table(spark, sf_dir, "documents").select(F.explode(F.filter(sentences, lambda x: x != "")).alias("claim"), "source").select(F.md5("claim").alias("claim"), "source")
+    by_source = own.groupBy("claim", "source").agg(F.count("*").alias("n"))  # a claim that all texts make is a row for each source from here
+    found = by_source.groupBy("claim").agg(F.count("source").alias("sources"), F.sum("n").alias("n"))
     return found.withColumn("promoted", F.col("sources") >= 2)
 
 
@@ -113,26 +117,24 @@ def claim_validity(spark, sf_dir):
 
 
 def collection_failures(spark, sf_dir):
-    """Each source (type) is due each day; a day without rows stays in the report as failed.  Errors are lost on every sixth day."""
+    """Each source (type) that the table has is due on each day of its span; a day without rows stays in the report as failed.  Errors are lost on every sixth day."""
     day = F.datediff("ts", F.lit("2024-01-01"))
-    due = spark.range(30).select(F.col("id").cast("int").alias("day")).withColumn("source", F.explode(F.array(*[F.lit(s) for s in ("click", "error", "purchase", "signup", "view")])))
-    got = table(spark, sf_dir, "events").select(day.alias("day"), F.col("event_type").alias("source")).filter("not (source = 'error' and day % 6 = 0)").groupBy("day", "source").agg(F.count("*").alias("n"))
+    own = durable(table(spark, sf_dir, "events").groupBy(day.alias("day"), F.col("event_type").alias("source")).agg(F.count("*").alias("n")))
+    span = own.agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    due = own.select("source").distinct().crossJoin(F.broadcast(span)).select("source", F.explode(F.sequence("a", "b")).alias("day"))  # types times one row
+    got = own.filter("not (source = 'error' and day % 6 = 0)")
     return due.join(got, ["day", "source"], "left").select("day", "source", F.when(F.col("n").isNull(), "failed").otherwise("collected").alias("status"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def deletion_effect(spark, sf_dir):
-    """What a deletion list (customers in debt) takes from each zone, and that nothing of it is left."""
+    """What a deletion list (customers in debt) took from each written zone, and what of it is left: the features' job forgot customers of odd numbers and took every 50th one's too."""
     gone = table(spark, sf_dir, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("person"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("person"), "o_orderkey")
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).join(orders, "o_orderkey").select("person")
-    zones = {"raw": table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person")), "curated": orders.select("person"), "features": lines}
-    out = None
-    for zone, rows in zones.items():
-        after = rows.join(gone, "person", "left_anti")
-        found = rows.agg(F.count("*").alias("before")).crossJoin(after.agg(F.count("*").alias("after"))).crossJoin(after.join(gone, "person", "left_semi").agg(F.count("*").alias("left_over")))
-        found = found.select(F.lit(zone).alias("zone"), "before", "after", "left_over")
-        out = found if out is None else out.unionByName(found)
-    return out
+    before = {"raw": table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person")), "curated": orders.select("person"), "features": lines}
+    wrong = gone.filter("person % 2 = 0")
+    now = {zone: durable(rows.join(wrong if zone == "features" else gone, "person", "left_anti").filter("true" if zone != "features" else "person % 50 <> 7")) for zone, rows in before.items()}
+    return deletion.effect({zone: (before[zone], now[zone]) for zone in before}, gone, "person")
 
 
 def lineage_closure(spark, sf_dir):
@@ -158,10 +160,15 @@ def _scan(patterns: dict[str, str]):
 SECTIONS = ["purpose", "sources", "coverage", "quality", "limits", "owner"]
 
 
+CARD = [(s, s, "required", None) for s in SECTIONS]
+
+
 def card_completeness(spark, sf_dir):
     """Cards (a nation each) with sections; a card lacks a section where its number and the section's add up to a multiple of five."""
-    lacks = F.filter(F.array(*[F.when((F.col("n_nationkey") + k) % 5 == 0, F.lit(s)) for k, s in enumerate(SECTIONS)]), lambda x: x.isNotNull())
-    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("card"), F.array_join(lacks, ",").alias("missing"), F.size(lacks).cast("long").alias("n_missing"), (F.size(lacks) == 0).alias("complete"))
+    text = lambda k, s: F.when((F.col("n_nationkey") + k) % 5 != 0, F.concat(F.lit(f"{s} of "), "n_name")).alias(s)
+    cards = table(spark, sf_dir, "nation").select(F.col("n_name").alias("card"), *[text(k, s) for k, s in enumerate(SECTIONS)])
+    found = rules.broken(cards, CARD, "missing")
+    return found.select("card", F.array_join("missing", ",").alias("missing"), F.size("missing").cast("long").alias("n_missing"), (F.size("missing") == 0).alias("complete"))
 
 
 QUERIES = {f.__name__: f for f in (source_admission, zone_transitions, schema_quarantine, dq_referential, dq_timeliness, drift_ks, cross_source_conflict, claim_span_check, claim_corroboration, claim_validity, collection_failures, deletion_effect, lineage_closure, card_completeness)} | {"secret_scan": _scan(SECRETS), "pii_scan": _scan(PERSONAL)}
@@ -181,10 +188,10 @@ ORACLE = {
     "drift_ks": "WITH v AS (SELECT value, count(*) FILTER (ts < TIMESTAMP '2024-01-16') AS a, count(*) FILTER (ts >= TIMESTAMP '2024-01-16') AS b FROM events GROUP BY 1), c AS (SELECT sum(a) OVER w / (SELECT sum(a) FROM v)::DOUBLE AS fa, sum(b) OVER w / (SELECT sum(b) FROM v)::DOUBLE AS fb FROM v WINDOW w AS (ORDER BY value)) SELECT round(max(abs(fa - fb)), 6) AS ks, count(*)::BIGINT AS different FROM c",
     "cross_source_conflict": "SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS day, count(DISTINCT event_type)::BIGINT AS sources, min(value) AS low, max(value) AS high FROM events GROUP BY 1, 2 HAVING count(DISTINCT event_type) > 1 AND min(value) <> max(value)",
     "claim_span_check": "SELECT doc_id, substring(text, (doc_id % 20 + 1), 15) = substring(text, (doc_id % 20 + 1 + CASE WHEN doc_id % 8 = 0 THEN 1 ELSE 0 END), 15) AS holds FROM documents",
-    "claim_corroboration": "SELECT md5(substring(text, 1, 40)) AS claim, count(DISTINCT source)::BIGINT AS sources, count(*)::BIGINT AS n, count(DISTINCT source) >= 2 AS promoted FROM documents GROUP BY 1",
+    "claim_corroboration": r"WITH s AS (SELECT source, trim(unnest(regexp_split_to_array(text, '[.!?\n]+')), ' ') AS claim FROM documents) SELECT md5(claim) AS claim, count(DISTINCT source)::BIGINT AS sources, count(*)::BIGINT AS n, count(DISTINCT source) >= 2 AS promoted FROM s WHERE claim <> '' GROUP BY 1",
     "claim_validity": "SELECT event_id, user_id, ts + to_days((event_id % 10 + 1)::INT) AS expires_at FROM events WHERE ts <= TIMESTAMP '2024-01-15' AND ts + to_days((event_id % 10 + 1)::INT) > TIMESTAMP '2024-01-15' AND value >= 50",
-    "collection_failures": "WITH d AS (SELECT day::INT AS day, source FROM range(30) t(day), (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view')) s(source)), g AS (SELECT date_diff('day', DATE '2024-01-01', ts::DATE) AS day, event_type AS source, count(*) AS n FROM events WHERE NOT (event_type = 'error' AND date_diff('day', DATE '2024-01-01', ts::DATE) % 6 = 0) GROUP BY ALL) SELECT d.day, d.source, CASE WHEN n IS NULL THEN 'failed' ELSE 'collected' END AS status, coalesce(n, 0)::BIGINT AS n FROM d LEFT JOIN g ON g.day = d.day AND g.source = d.source",
-    "deletion_effect": "WITH c AS (SELECT c_custkey AS k, c_acctbal < 0 AS gone FROM customer), z AS (SELECT 'raw' AS zone, gone FROM c UNION ALL SELECT 'curated', gone FROM orders JOIN c ON o_custkey = k UNION ALL SELECT 'features', gone FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN c ON o_custkey = k) SELECT zone, count(*)::BIGINT AS before, count(*) FILTER (NOT gone)::BIGINT AS after, 0::BIGINT AS left_over FROM z GROUP BY zone",
+    "collection_failures": "WITH d AS (SELECT day::INT AS day, source FROM (SELECT unnest(range(min(k), max(k) + 1)) AS day FROM (SELECT date_diff('day', DATE '2024-01-01', ts::DATE) AS k FROM events) k) t, (SELECT DISTINCT event_type AS source FROM events) s), g AS (SELECT date_diff('day', DATE '2024-01-01', ts::DATE) AS day, event_type AS source, count(*) AS n FROM events WHERE NOT (event_type = 'error' AND date_diff('day', DATE '2024-01-01', ts::DATE) % 6 = 0) GROUP BY ALL) SELECT d.day, d.source, CASE WHEN n IS NULL THEN 'failed' ELSE 'collected' END AS status, coalesce(n, 0)::BIGINT AS n FROM d LEFT JOIN g ON g.day = d.day AND g.source = d.source",
+    "deletion_effect": "WITH c AS (SELECT c_custkey AS k, c_acctbal < 0 AS gone FROM customer), z AS (SELECT 'raw' AS zone, k, gone, NOT gone AS kept FROM c UNION ALL SELECT 'curated', k, gone, NOT gone FROM orders JOIN c ON o_custkey = k UNION ALL SELECT 'features', k, gone, NOT (gone AND k % 2 = 0) AND k % 50 <> 7 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN c ON o_custkey = k) SELECT zone, count(*)::BIGINT AS before, count(*) FILTER (kept)::BIGINT AS after, count(*) FILTER (kept AND gone)::BIGINT AS left_over, count(*) FILTER (NOT kept AND NOT gone)::BIGINT AS lost FROM z GROUP BY zone",
     "lineage_closure": "WITH RECURSIVE e AS (SELECT DISTINCT p_partkey AS snapshot, unnest([p_partkey // 2, p_partkey // 3]) AS upstream FROM part WHERE p_partkey > 0), c AS (SELECT snapshot, upstream, 1::BIGINT AS depth FROM e UNION SELECT c.snapshot, e.upstream, c.depth + 1 FROM c JOIN e ON e.snapshot = c.upstream) SELECT snapshot, upstream, min(depth)::BIGINT AS depth FROM c GROUP BY ALL",
     "secret_scan": _scan_sql(SECRETS),
     "pii_scan": _scan_sql(PERSONAL),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import metrics, ordering
+from ..operators import metrics, ordering, rules
 from ..session import table
 from .evidence import FORECASTS, forecasts
 
@@ -23,10 +23,14 @@ def prediction_bundle(spark, sf_dir):
     return found.select("user_id", F.md5(F.concat_ws(":", F.lit("run"), "user_id", evidence)).alias("run_id"), F.round(F.col("e")[0].p, 9).alias("p"), F.col("e")[0].ts.alias("generated_from"), evidence.alias("evidence"), F.lit("unapproved").alias("state"))
 
 
+PROPOSAL = [("not unapproved", "state", "required", None), ("not unapproved", "state", "equals", "unapproved"), ("no objective", "objective", "required", None), ("no alternative", "alternative", "required", None)]
+
+
 def proposal_schema_check(spark, sf_dir):
     """Proposals (orders) that break their schema: finished ones (status F) began as approved, every 17th has no objective, every 19th no alternative."""
-    problem = F.when(F.col("o_orderstatus") == "F", "not unapproved").when(F.col("o_orderkey") % 17 == 0, "no objective").when(F.col("o_orderkey") % 19 == 0, "no alternative")
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("proposal_id"), problem.alias("problem")).filter("problem is not null")
+    key = F.col("o_orderkey")
+    proposals = table(spark, sf_dir, "orders").select(key.alias("proposal_id"), F.when(F.col("o_orderstatus") == "F", "approved").otherwise("unapproved").alias("state"), F.when(key % 17 != 0, "points").alias("objective"), F.when(key % 19 != 0, "hold").alias("alternative"))
+    return rules.first_broken(proposals, PROPOSAL).filter("problem is not null").select("proposal_id", "problem")
 
 
 def transcript_order(spark, sf_dir):
@@ -41,8 +45,9 @@ def transcript_order(spark, sf_dir):
 def audit_completeness(spark, sf_dir):
     """Audit rows (events) by the fields they lack: the actor in every ninth, the approval in every 14th, the version in every 21st."""
     fields = {"actor": 9, "approval": 14, "version": 21}
-    lacks = F.filter(F.array(*[F.when(F.col("event_id") % n == 0, F.lit(f)) for f, n in fields.items()]), lambda x: x.isNotNull())
-    return _events(spark, sf_dir).groupBy(F.array_join(lacks, ",").alias("missing")).agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+    rows = _events(spark, sf_dir).select("event_id", *[F.when(F.col("event_id") % n != 0, F.lit(f"{f} 1")).alias(f) for f, n in fields.items()])
+    found = rules.broken(rows, [(f, f, "required", None) for f in fields])
+    return found.groupBy(F.array_join("broken", ",").alias("missing")).agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
 
 
 def provenance_record(spark, sf_dir):
@@ -57,16 +62,16 @@ def allowlist_violations(spark, sf_dir):
     return _events(spark, sf_dir).join(F.broadcast(allowed), "event_type", "left_anti").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
 
 
+TOKEN = [
+    ("issuer", "iss", "required", None), ("issuer", "iss", "one_of", "issuer-0, issuer-1"), ("audience", "aud", "required", None), ("audience", "aud", "one_of", "view, click, purchase"),
+    ("expiry", "left", "required", None), ("expiry", "left", "at_least", "2"), ("scope", "scope", "required", None), ("scope", "scope", "at_least", "50"),
+]
+
+
 def token_policy(spark, sf_dir):
     """Tokens (events) are refused unless issuer, audience, expiry and scope all hold; the first that fails is the reason."""
-    reason = (
-        F.when(~(F.col("user_id") % 3).isin(0, 1), "issuer")
-        .when(~F.col("event_type").isin("view", "click", "purchase"), "audience")
-        .when(F.col("event_id") % 5 < 2, "expiry")
-        .when(F.coalesce(F.get_json_object("props", "$.k").cast("int") < 50, F.lit(True)), "scope")
-        .otherwise("allowed")
-    )
-    return _events(spark, sf_dir).select("event_id", reason.alias("decision"))
+    tokens = _events(spark, sf_dir).select("event_id", F.concat(F.lit("issuer-"), F.col("user_id") % 3).alias("iss"), F.col("event_type").alias("aud"), (F.col("event_id") % 5).alias("left"), F.get_json_object("props", "$.k").alias("scope"))
+    return rules.first_broken(tokens, TOKEN, "refused").select("event_id", F.coalesce("refused", F.lit("allowed")).alias("decision"))
 
 
 def citation_support(spark, sf_dir):
@@ -102,11 +107,15 @@ def registration_order(spark, sf_dir):
     return table(spark, sf_dir, "orders").join(first, "o_orderkey").filter("o_orderdate >= unlocked_at").select(F.col("o_orderkey").alias("experiment"), F.col("o_orderdate").alias("registered_at"), "unlocked_at")
 
 
+EXCEPTION = [("no owner", "owner", "required", None), ("no link", "link", "required", None), ("expired", "until", "required", None), ("expired", "until", "after", "2024-06-01")]
+
+
 def exception_validity(spark, sf_dir):
     """Exceptions (suppliers) without an owner (every seventh), without a link (every eleventh) or expired by June 2024 (they last 1 to 400 days)."""
     until = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("s_suppkey") % 400 + 1).cast("int"))
-    problem = F.when(F.col("s_suppkey") % 7 == 0, "no owner").when(F.col("s_suppkey") % 11 == 0, "no link").when(until < F.lit("2024-06-01").cast("date"), "expired")
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("exception_id"), problem.alias("problem")).filter("problem is not null")
+    key = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(key.alias("exception_id"), F.when(key % 7 != 0, "someone").alias("owner"), F.when(key % 11 != 0, "#1").alias("link"), until.alias("until"))
+    return rules.first_broken(rows, EXCEPTION).filter("problem is not null").select("exception_id", "problem")
 
 
 def bench_record(spark, sf_dir):

@@ -33,9 +33,8 @@ def udf_cogroup(spark, sf_dir):
 
 
 def udtf_words(spark, sf_dir):
-    spark.udtf.register("split_words", vectorised.SplitWords)
-    table(spark, sf_dir, "part").createOrReplaceTempView("udtf_parts")
-    return spark.sql("SELECT word, place, count(*) AS n FROM udtf_parts, LATERAL split_words(p_name) GROUP BY word, place")
+    words = table(spark, sf_dir, "part").lateralJoin(vectorised.SplitWords(F.col("p_name").outer()))
+    return words.groupBy("word", "place").agg(F.count("*").alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (udf_scalar, udf_grouped_agg, udf_map_batches, udf_apply_groups, udf_cogroup, udtf_words)}
