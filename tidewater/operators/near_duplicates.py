@@ -39,10 +39,15 @@ def coefficients(n: int) -> list[tuple[int, int]]:
 def shingles(text: Column, words: int = WORDS) -> Column:
     """The different 60-bit hashes of a text's shingles; of a null or empty text there are none."""
     own = F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[ \t-\r]+"), "")
-    places = F.sequence(F.lit(1), F.greatest(F.size(own) - (words - 1), F.lit(1)))
-    grams = F.transform(places, lambda i: F.array_join(F.slice(own, i, words), " "))
     number = lambda g: F.conv(F.substring(F.md5(g), 1, 15), 16, 10).cast("long")
-    return F.when(F.size(own) == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(F.transform(grams, number)))
+
+    def of(w: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.size(w) - (words - 1), F.lit(1)))
+        return F.array_distinct(F.transform(places, lambda i: number(F.array_join(F.slice(w, i, words), " "))))
+
+    none = F.array().cast("array<bigint>")
+    # the words are a variable, so that they are split once and not for each shingle
+    return F.element_at(F.transform(F.array(own), lambda w: F.when(F.size(w) == 0, none).otherwise(of(w))), 1)
 
 
 def signatures(sets: DataFrame, n: int) -> DataFrame:
