@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from tidewater.operators import deletion, lineage, metrics, rules
+from tidewater.operators import decision, deletion, lineage, metrics, rules
 
 RULES = [
     ("owner", "owner", "required", None), ("state", "state", "one_of", "new, open"), ("score", "score", "at_least", "0.5"), ("score", "score", "at_most", "9"),
@@ -75,3 +75,13 @@ def test_holm_with_ties_and_nulls(spark):
         want[t] = largest
     assert got.keys() == want.keys() and all(got[t] is want[t] or abs(got[t] - want[t]) < 1e-12 for t in want)
     assert metrics.holm(spark.createDataFrame([], "test string, p double")).count() == 0
+
+
+def test_broken_rules_of_units(spark):
+    facts = spark.createDataFrame([("a", "brand", "x", 2), ("a", "brand", "y", 1), ("b", "brand", "x", 9)], "squad string, kind string, grp string, x long")
+    table = [("v1", "brand", "x", 0, 3), ("v1", "brand", "y", 1, 5)]
+    schema = "rule_version string, kind string, grp string, lo long, hi long"
+    got = {(r.squad, r.grp, r.actual) for r in decision.broken_rules(facts, spark.createDataFrame(table, schema), "squad").collect()}
+    assert got == {("b", "x", 9), ("b", "y", 0)}
+    with pytest.raises(ValueError):
+        decision.broken_rules(facts, spark.createDataFrame([("v1", "k", str(i), 0, 1) for i in range(1001)], schema), "squad")

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+MOST_RULES = 1000
+
+
 def regret(options: DataFrame, by: str) -> DataFrame:
     """``options`` has ``option``, ``expected`` and ``realised``; the one of greatest expectation is chosen (of equal ones the last by name).
 
@@ -19,9 +22,11 @@ def regret(options: DataFrame, by: str) -> DataFrame:
 def broken_rules(facts: DataFrame, rules: DataFrame, by: str) -> DataFrame:
     """``facts`` has ``by``, ``kind``, ``grp`` and an amount ``x``; ``rules`` has bounds ``lo`` and ``hi`` of the sum of each kind and group.
 
-    The rules are a small table and join by name; only units (``by``) times rules are
+    The rules are a policy of at most ``MOST_RULES``, which is checked, and join by name; only units (``by``) times rules are
     made, so that a group that a unit lacks is checked as zero.
     """
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
     sums = facts.groupBy(by, "kind", "grp").agg(F.sum("x").alias("actual"))
     wanted = facts.select(by).distinct().join(F.broadcast(rules))
     actual = F.coalesce("actual", F.lit(0).cast("long"))
