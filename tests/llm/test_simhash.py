@@ -95,3 +95,10 @@ def test_one_row_of_each_group_stays(spark):
 
 def test_segments_by_size():
     assert [simhash.best_segments(n) for n in (200_000, 10_000_000, 1_000_000_000)] == [3, 3, 2]
+
+
+def test_unlike_texts_of_one_id_stay(spark):
+    rows = [(1, "one text about rivers and mills"), (1, "a wholly different note on bread"), (2, "one text about rivers and mills"), (7, "same row"), (7, "same row")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for d in (docs, docs.repartition(3)):
+        assert sorted(r.text[:5] for r in simhash.keep_one(d).collect()) == ["a who", "one t", "same "]
