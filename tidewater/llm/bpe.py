@@ -37,7 +37,7 @@ from . import _common as common
 LEAF_CHARS = 16_384
 LEAF_BYTES = 64
 #: Pieces that a worker remembers; the memory is emptied when full.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 
 # Code points with the property White_Space (fixed values).
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -143,6 +143,8 @@ def halves(start: int, stop: int, limit: int) -> list[int]:
 class Codec:
     """Encodes and decodes by a file of ranks."""
 
+    remembered: int | None = None  #: instead of ``REMEMBERED``
+
     def __init__(self, path: str) -> None:
         with open(path, "rb") as lines:
             self._set({base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())})
@@ -314,7 +316,7 @@ class Codec:
 
     def numbers(self, pieces: list[bytes]) -> np.ndarray:
         """The number of each of these different pieces in the memory, which holds them all then."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > (self.remembered or REMEMBERED):
             self._forget()
         get = self.known.get
         found = [get(p, -1) for p in pieces]

@@ -43,6 +43,8 @@ CAPACITY = 1024
 #: Most padding, as a share of all ids.
 PADDING = 0.002
 SEPARATOR = 0
+#: Pieces that a worker remembers: this vocabulary cuts more words than that of ``bpe``.
+REMEMBERED = 250_000
 SPECIAL = b"<|endoftext|>"
 
 Pattern = tuple[tuple[int, int, bool], ...]  #: runs of (length, times, whether it is a cut piece)
@@ -217,7 +219,9 @@ def vocabulary(path: str) -> tuple[bpe.Codec, int]:
     special = {t["content"]: t["id"] for t in held["added_tokens"]}
     letters = _letters()
     ranks = {bytes(letters[c] for c in token): i for token, i in held["model"]["vocab"].items() if token not in special}
-    return bpe.Codec.of_ranks(ranks), special[SPECIAL.decode()]
+    own = bpe.Codec.of_ranks(ranks)
+    own.remembered = REMEMBERED
+    return own, special[SPECIAL.decode()]
 
 
 def ids_of(column: pa.Array, path: str) -> Iterator[np.ndarray]:
