@@ -103,5 +103,18 @@ def test_what_no_leader_reaches_is_found_by_the_prefix_filter(spark):
         assert len(got) < len(held) * 8
 
 
+def test_what_an_early_leader_took_is_linked_with_what_later_ones_reach(spark):
+    """A chain of three in a key of its own: whichever leads, the middle one must be linked with both ends."""
+    rows, keys = [], []
+    for c in range(12):
+        for k in range(3):
+            rows.append((c * 3 + k, [c * 1000 + x for x in range(k * 10, k * 10 + 100)]))
+            keys.append((c * 3 + k, [c]))
+    sets, keyed = spark.createDataFrame(rows, "id long, shingles array<long>"), spark.createDataFrame(keys, "id long, keys array<long>")
+    for leaders in (1, 2, 3):
+        got = plain_components([(r.a, r.b) for r in near_duplicates.links(sets, keyed, 0.8, leaders).collect()])
+        assert got == {i: i - i % 3 for i in range(36)}
+
+
 def test_empty_table(spark):
     assert near_duplicates.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0

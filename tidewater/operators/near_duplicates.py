@@ -7,7 +7,9 @@ band share its key.  Of a key's classes
 
 1. in each of ``LEADERS`` rounds one leads, and those not reached yet are compared with it;
 2. what no leader reached is compared with all of the key's classes by a prefix filter: two sets
-   at the similarity share one of their rarest shingles, so what many texts share makes no pairs.
+   at the similarity share one of their rarest shingles, so what many texts share makes no pairs;
+3. so is what a later leader reached but an earlier one nearly did (``border``), as it may be similar to one that
+   the earlier leader took.  Jaccard distance is a metric, so nothing farther off can be.
 
 So all classes that chains of similar ones connect within a key are connected, a group of
 near copies costs a comparison for each member and key, and no key is capped.  What bands miss is
@@ -62,13 +64,24 @@ def band_keys(signature: Column, bands: int, rows: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(k), F.slice(signature, k * rows + 1, rows)) for k in range(bands)])
 
 
-def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b, ...) whose sets have at least the Jaccard ``similarity``."""
+def border(similarity: float) -> float:
+    """The least similarity to a set that one can have which is similar to one that is similar to it."""
+    return 2 * similarity - 1 - 1e-9
+
+
+def compared(pairs: DataFrame, sets: DataFrame, similarity: float, least: float) -> DataFrame:
+    """Those of ``pairs`` (a, b, ...) whose sets have at least the Jaccard similarity ``least``, and ``close``: whether they have ``similarity``."""
     side = lambda name: sets.select(F.col("id").alias(name), F.col("shingles").alias(f"_{name}"))
     whole = pairs.join(side("a"), "a").join(side("b"), "b")
     n, m = F.size("_a"), F.size("_b")
-    common = F.size(F.array_intersect("_a", "_b"))
-    return whole.filter((F.least(n, m) >= similarity * F.greatest(n, m)) & (common >= similarity * (n + m - common))).select(*pairs.columns)
+    sized = whole.filter(F.least(n, m) >= least * F.greatest(n, m)).select(*pairs.columns, (n + m).alias("_n"), F.size(F.array_intersect("_a", "_b")).alias("_common"))
+    share = lambda s: F.col("_common") >= F.lit(s) * (F.col("_n") - F.col("_common"))
+    return sized.filter(share(least)).select(*pairs.columns, share(similarity).alias("close"))
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b, ...) whose sets have at least the Jaccard ``similarity``."""
+    return compared(pairs, sets, similarity, similarity).select(*pairs.columns)
 
 
 def links(sets: DataFrame, keyed: DataFrame, similarity: float, leaders: int = LEADERS) -> DataFrame:
@@ -76,16 +89,19 @@ def links(sets: DataFrame, keyed: DataFrame, similarity: float, leaders: int = L
     entries = durable(keyed.select("id", F.explode("keys").alias("key")))
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     entries = left = durable(entries.join(shared, "key"))
-    found = None
+    found = beyond = None
     for k in range(leaders):
         leader = left.groupBy("key").agg(F.min_by("id", F.xxhash64(F.lit(k), "id")).alias("a"))
-        asked = left.join(leader, "key").filter("a <> id").select("a", F.col("id").alias("b"), "key")
-        pairs = durable(asked.select("a", "b").distinct())
-        close = durable(similar(pairs, sets, similarity))
+        asked = durable(left.join(leader, "key").filter("a <> id").select("a", F.col("id").alias("b"), "key"))
+        near = durable(compared(asked.select("a", "b").distinct(), sets, similarity, border(similarity)))
+        close = near.filter("close").select("a", "b")
         found = close if found is None else found.unionByName(close)
         left = durable(asked.join(close, ["a", "b"], "left_anti").select("key", F.col("b").alias("id")))
-    rest = left.select("id").distinct()
-    beside = entries.join(left.select("key").distinct(), "key").select("id").distinct()
+        beside = asked.join(near.filter("NOT close"), ["a", "b"]).select("key", F.col("b").alias("id"))
+        beyond = beside if beyond is None else beyond.unionByName(beside)
+    open_ = durable(left.unionByName(beyond).distinct())
+    rest = open_.select("id").distinct()
+    beside = entries.join(open_.select("key").distinct(), "key").select("id").distinct()
     tokens = durable(sets.join(beside, "id").select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("x")))
     rare = tokens.groupBy("x").agg(F.count(F.lit(1)).alias("f"))
     ordered = tokens.join(rare.filter("f > 1"), "x", "left").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(1).cast("long")).alias("f"), F.col("x")))).alias("o"))
