@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructType
 
@@ -50,22 +51,36 @@ def trend(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
     return parts.groupBy(by).applyInPandas(slope, f"{by} long, slope double, n long")
 
 
-def last_before(left: DataFrame, right: DataFrame, by: list[str], at: str) -> DataFrame:
+#: Rows that a pair of groups of ``last_before`` has, about.
+BUCKET_ROWS = 20_000
+
+
+def last_before(left: DataFrame, right: DataFrame, by: list[str], at: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``left`` with the latest ``value`` of ``right`` before each time, by merging sorted pairs of groups.
 
-    Both sides of a group are in one task; ``by`` should name groups of bounded
-    size, such as a user's day.  ``temporal.as_of_join`` needs no such bound.
+    Keys are dealt to as many buckets as keep them at about ``bucket_rows`` rows, and a pair of buckets is merged at once
+    within its keys, as a call for each key costs far more than the key's few rows.  Both sides of a key
+    are in one task; ``by`` should name groups of bounded size, such as a user's day.
+    ``temporal.as_of_join`` needs no such bound.  A row with a null key or time has nothing before it.  Of values at
+    one time the largest is taken.
     """
+    known = [F.col(c).isNotNull() for c in (*by, at)]
+    usable = reduce(Column.__and__, known)
+    buckets = (left.count() + right.count()) // bucket_rows + 1
 
     def merge(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if b.empty:
+        if a.empty or b.empty:
             return a[["id"]].assign(value=float("nan"))
-        out = pd.merge_asof(a.sort_values([at, "id"]), b[[at, "value"]].sort_values(at), on=at, allow_exact_matches=False)
+        b = b[[*by, at, "value"]].sort_values([at, "value"], na_position="first", kind="stable")
+        out = pd.merge_asof(a.sort_values([at, "id"]), b, on=at, by=by, allow_exact_matches=False)
         return out[["id", "value"]]
 
+    bucket = F.pmod(F.xxhash64(*by), F.lit(buckets)).alias("_bucket")
+    asked = left.filter(usable).select(bucket, "id", *by, at)
     # columns of the same origin on both sides lose one of them to pruning; a marked alias keeps them apart
-    right = right.select(*[F.col(c).alias(c, metadata={"side": "right"}) for c in right.columns])
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(merge, "id long, value double")
+    told = right.filter(usable).select(bucket, *[F.col(c).alias(c, metadata={"side": "right"}) for c in (*by, at, "value")])
+    found = asked.groupBy("_bucket").cogroup(told.groupBy("_bucket")).applyInPandas(merge, "id long, value double")
+    return found.unionByName(left.filter(~usable).select("id", F.lit(None).cast("double").alias("value")))
 
 
 @F.udtf(returnType=StructType().add("place", IntegerType()).add("word", StringType()))

@@ -26,7 +26,7 @@ def udf_apply_groups(spark, sf_dir):
 
 
 def udf_cogroup(spark, sf_dir):
-    own = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    own = table(spark, sf_dir, "events").withColumn("day", F.unix_date(F.to_date("ts")))
     asked = own.filter("event_type = 'purchase'").select("user_id", "day", "ts", F.col("event_id").alias("id"))
     told = own.filter("event_type <> 'purchase'").select("user_id", "day", "ts", "value")
     return vectorised.last_before(asked, told, ["user_id", "day"], "ts")
