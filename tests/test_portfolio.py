@@ -47,6 +47,38 @@ def test_the_bound_prunes_and_the_limit_ends():
     assert portfolio.solve(items, draws, 3, 3, 10, 30, 40, limit=10)[:2] == ("limit", None)
 
 
+def test_many_items_and_copies_are_a_few_steps():
+    """Copies of items and near ties were walked one by one."""
+    rng = np.random.default_rng(5)
+    draws = np.repeat(rng.integers(0, 400, (400, 7)), 60, axis=0)
+    kinds = np.repeat(rng.integers(0, 6, 400), 60)
+    prices = np.repeat(rng.integers(9000, 10500, 400), 60)
+    items = [(int(i), f"k{t}", int(p)) for i, (t, p) in enumerate(zip(kinds, prices, strict=True))]
+    status, chosen, value, steps = portfolio.solve(items, draws, 3, 2, 28000, 30, 40, limit=50_000)
+    one = [(i // 60, t, p) for i, t, p in items[::60]]
+    top = sorted(range(400), key=lambda i: -int(draws[i * 60].sum()))
+    assert status == "optimal" and steps < 50_000
+    # against all triples of the 120 best and what they cost, each three times
+    few = [i * 60 + k for i in top[:40] for k in range(3)]
+    own = [items[i] for i in few]
+    assert -brute(own, draws[few], 3, 2, 28000, 30, 40)[0] <= value
+    assert value == portfolio.objective(draws[chosen].sum(axis=0), 3, 40) and len({*chosen}) == 3 and len(one) == 400
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_ties_of_copies_equal_brute_force(seed):
+    rng = random.Random(seed)
+    kinds = [(rng.choice("ab"), [rng.choice([0, 1, 4]) for _ in range(12)]) for _ in range(4)]
+    rows = [(i, *rng.choice(kinds), rng.randrange(1, 4)) for i in rng.sample(range(99), 13)]
+    items, draws = [(i, t, p) for i, t, _, p in rows], np.array([d for _, _, d, _ in rows], dtype=np.int64)
+    args = rng.randrange(1, 5), rng.randrange(1, 4), rng.randrange(4, 12), rng.choice([20, 50]), rng.choice([0, 40, 100])
+    status, chosen, value, _ = portfolio.solve(items, draws, *args)
+    want = brute(items, draws, *args)
+    assert (status == "infeasible") == (want is None)
+    if want is not None:
+        assert (-value, sum(items[i][2] for i in chosen), tuple(sorted(items[i][0] for i in chosen))) == want
+
+
 def test_risk_changes_the_choice(spark):
     rows = [("g", 1, "a", 1, [100, 0]), ("g", 2, "b", 1, [40, 40]), ("g", 3, "c", 1, None), ("g", 4, "c", 1, [1, None]), ("h", 5, "a", 9, [1, 1])]
     items = spark.createDataFrame(rows, "grp string, item long, kind string, price long, draws array<long>")

@@ -8,9 +8,11 @@ mix of the mean over scenarios and the mean of the worst share of them (CVaR).
 from __future__ import annotations
 
 from collections import Counter
+from itertools import combinations
+from math import comb
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import durable
@@ -18,6 +20,9 @@ from .selection import LIMIT
 
 RESULT = "grp string, status string, items array<long>, objective long, total long, tail long, price long, steps long"
 
+#: Most sets of scenarios that a bound is taken over.
+WORST_SETS = 40
+
 
 def worst(scenarios: int, percent: int) -> int:
     """Number of scenarios in the worst ``percent`` of them, one at least."""
@@ -29,47 +34,120 @@ def objective(totals: np.ndarray, k: int, weight: int) -> int:
     return int(weight * k * totals.sum() + (100 - weight) * len(totals) * np.sort(totals)[:k].sum())
 
 
+def worst_sets(draws: np.ndarray, k: int, most: int = WORST_SETS) -> np.ndarray:
+    """Sets of ``k`` scenarios, a row of 0 and 1 for each: all there are, or ``most`` in which good items are at their worst."""
+    scenarios = draws.shape[1]
+    if comb(scenarios, k) <= most:
+        chosen = list(combinations(range(scenarios), k))
+    else:
+        best = draws[np.argsort(-draws.sum(axis=1), kind="stable")[: most - 1]]
+        chosen = [np.argsort(row, kind="stable")[:k] for row in (draws.sum(axis=0), *best)]
+    sets = np.zeros((len(chosen), scenarios), dtype=np.int64)
+    for row, own in zip(sets, chosen, strict=True):
+        row[list(own)] = 1
+    return np.unique(sets, axis=0)
+
+
+def undominated(items: list[tuple[int, str, int]], draws: np.ndarray, size: int) -> list[int]:
+    """Places of the items without those that ``size`` others of their kind with the same draws make needless, being cheaper or of one price and smaller."""
+    seen: Counter = Counter()
+    out = []
+    for i in sorted(range(len(items)), key=lambda i: (items[i][2], items[i][0])):
+        own = items[i][1], draws[i].tobytes()
+        seen[own] += 1
+        if seen[own] <= size:
+            out.append(i)
+    return out
+
+
 def solve(items: list[tuple[int, str, int]], draws: np.ndarray, size: int, cap: int, budget: int, percent: int, weight: int, limit: int = LIMIT) -> tuple[str, list[int] | None, int, int]:
     """(status, places, objective, steps) of one group: ``items`` are (item, kind, price), ``draws`` has a row for each.
 
-    The bound: the lowest k of a whole selection's totals add up to no more than any k of them, so the k that
-    are the lowest by now make the objective a sum over items, of which the best that are left are added.
+    The bound: the lowest k of a whole selection's totals add up to no more than any k of them, so each set of k
+    scenarios (``worst_sets``) makes the objective a sum over items, of which the best that are left are added; the least
+    sum over the sets holds.  A step bounds all items that may come next at once, and goes on with the
+    best of them; the last item of a selection is chosen among all at once.
     """
-    n, scenarios = draws.shape if len(items) else (0, 1)
-    k = worst(scenarios, percent)
-    order = sorted(range(n), key=lambda i: (-objective(draws[i], k, weight), items[i][2], items[i][0]))
-    draws, rows = draws[order], [items[i] for i in order]
-    cheapest = [min((r[2] for r in rows[i:]), default=0) for i in range(n + 1)]
-    sums = draws.sum(axis=1)
-    best, steps = None, 0
-    stack: list[tuple[int, tuple[int, ...], int]] = [(0, (), 0)]
+    if size < 1:
+        return "optimal", [], 0, 0
+    if cap < 1 or size > len(items):
+        return "infeasible", None, 0, 0
+    k, scenarios = worst(draws.shape[1], percent), draws.shape[1]
+    places = np.array(undominated(items, draws, size))
+    own = np.ascontiguousarray(draws[places])
+    number = np.array([items[i][0] for i in places])
+    price = np.array([items[i][2] for i in places])
+    kind = np.unique([repr(items[i][1]) for i in places], return_inverse=True)[1]
+    gains = weight * k * own.sum(axis=1)[:, None] + (100 - weight) * scenarios * (own @ worst_sets(own, k).T)
+    best: tuple | None = None
+    steps = 0
+
+    def ends(chosen: tuple[int, ...], after: np.ndarray, totals: np.ndarray) -> None:
+        """The best selection that one of ``after`` completes."""
+        nonlocal best
+        whole = totals + own[after]
+        low = np.partition(whole, k - 1, axis=1)[:, :k].sum(axis=1) if k < scenarios else whole.sum(axis=1)
+        value = weight * k * whole.sum(axis=1) + (100 - weight) * scenarios * low
+        if best is not None and value.max() < -best[0][0]:
+            return
+        top = after[value == value.max()]
+        top = top[price[top] == price[top].min()]
+        one = int(top[number[top].argmin()])
+        held = (*chosen, one)
+        key = (-int(value.max()), int(price[list(held)].sum()), tuple(sorted(int(number[i]) for i in held)))
+        if best is None or key < best[0]:
+            best = (key, held)
+
+    # (chosen, those that may follow)
+    stack: list[tuple[tuple[int, ...], np.ndarray]] = [((), np.arange(len(places)))]
     while stack:
-        at, chosen, price = stack.pop()
+        chosen, after = stack.pop()
         steps += 1
         if steps > limit:
             return "limit", None, 0, steps
-        totals = draws[list(chosen)].sum(axis=0) if chosen else np.zeros(scenarios, dtype=np.int64)
-        if len(chosen) == size:
-            key = (-objective(totals, k, weight), price, tuple(sorted(rows[i][0] for i in chosen)))
-            if best is None or key < best[0]:
-                best = (key, chosen)
+        left, spent, held = size - len(chosen), int(price[list(chosen)].sum()) if chosen else 0, Counter(int(kind[i]) for i in chosen)
+        full = [t for t, n in held.items() if n >= cap]
+        if full:
+            after = after[~np.isin(kind[after], full)]
+        if len(after) < left:
             continue
-        left = size - len(chosen)
-        if at + left > n or price + left * cheapest[at] > budget:
+        cheap = np.partition(price[after], left - 2)[: left - 1].sum() if left > 1 else 0  # at least this for the others
+        after = after[price[after] + spent + cheap <= budget]
+        if len(after) < left:
             continue
+        totals = own[list(chosen)].sum(axis=0) if chosen else np.zeros(scenarios, dtype=np.int64)
+        if left == 1:
+            ends(chosen, after, totals)
+            continue
+        now = gains[list(chosen)].sum(axis=0) if chosen else np.zeros(gains.shape[1], dtype=np.int64)
+        others = np.partition(gains[after], len(after) - (left - 1), axis=0)[-(left - 1) :].sum(axis=0)
+        bound = (gains[after] + (now + others)).min(axis=1)
         if best is not None:
-            low = np.argsort(totals, kind="stable")[:k]
-            each = weight * k * sums[at:] + (100 - weight) * scenarios * draws[at:, low].sum(axis=1)
-            now = weight * k * int(totals.sum()) + (100 - weight) * scenarios * int(totals[low].sum())
-            if now + int(np.sort(each)[-left:].sum()) < -best[0][0]:
-                continue
-        stack.append((at + 1, chosen, price))
-        item = rows[at]
-        if price + item[2] <= budget and Counter(rows[i][1] for i in chosen)[item[1]] < cap:
-            stack.append((at + 1, (*chosen, at), price + item[2]))
+            after, bound = after[bound >= -best[0][0]], bound[bound >= -best[0][0]]
+        order = np.lexsort((number[after], -bound))
+        after, bound = after[order], bound[order]
+        if len(after) < left:
+            continue
+        if left == 2:
+            for i in range(len(after) - 1):
+                if best is not None and bound[i] < -best[0][0]:
+                    break
+                rest = after[i + 1 :] if best is None else after[i + 1 :][bound[i + 1 :] >= -best[0][0]]
+                rest = rest[price[rest] + price[after[i]] + spent <= budget]
+                if held[int(kind[after[i]])] + 1 >= cap:
+                    rest = rest[kind[rest] != kind[after[i]]]
+                steps += 1
+                if steps > limit:
+                    return "limit", None, 0, steps
+                if len(rest):
+                    ends((*chosen, int(after[i])), rest, totals + own[after[i]])
+            continue
+        # the first of ``after`` is chosen, or it is left out, when the rest are bounded anew as the best has risen
+        stack.append((chosen, after[1:]))
+        stack.append(((*chosen, int(after[0])), after[1:]))
     if best is None:
         return "infeasible", None, 0, steps
-    return "optimal", [order[i] for i in best[1]], -best[0][0], steps
+    return "optimal", [int(places[i]) for i in best[1]], -best[0][0], steps
 
 
 def select_under_risk(items: DataFrame, rules: DataFrame, percent: int, weight: int, limit: int = LIMIT) -> DataFrame:
@@ -78,7 +156,8 @@ def select_under_risk(items: DataFrame, rules: DataFrame, percent: int, weight:
     ``draws`` are whole numbers, one for each scenario, in one order for all items; an item
     with another number of draws than its group's first, or with a null, takes no part.
     ``total`` is the sum over scenarios, ``tail`` the sum of the worst ones.  Of equal objectives the cheapest is
-    chosen, then the smallest items.  A group is one task: its items are those that a choice is made of.
+    chosen, then the smallest items.  Of items of one kind with the same draws only the ``size`` cheapest can be chosen (the
+    smallest ones of one price), so only those go to a group's task: its items are those that a choice is made of.
     """
 
     def run(key, frame):
@@ -95,7 +174,10 @@ def select_under_risk(items: DataFrame, rules: DataFrame, percent: int, weight:
         return pd.DataFrame([out], columns=["grp", "status", "items", "objective", "total", "tail", "price", "steps"]).astype({c: "Int64" for c in ("objective", "total", "tail", "price")})
 
     whole = items.filter(F.forall("draws", lambda x: x.isNotNull()) & F.col("price").isNotNull())
-    return whole.select("grp", "item", "kind", "price", "draws").join(rules, "grp").groupBy("grp").applyInPandas(run, RESULT)
+    alike = Window.partitionBy("grp", "kind", "draws").orderBy("price", "item")
+    joined = whole.select("grp", "item", "kind", "price", "draws").join(rules, "grp").withColumn("_place", F.row_number().over(alike))
+    # one row stays where none can be chosen, so that the group is reported
+    return joined.filter(F.col("_place") <= F.greatest("size", F.lit(1))).drop("_place").groupBy("grp").applyInPandas(run, RESULT)
 
 
 def choose_over_periods(values: DataFrame, cost: float) -> DataFrame:
