@@ -102,3 +102,10 @@ def test_unlike_texts_of_one_id_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for d in (docs, docs.repartition(3)):
         assert sorted(r.text[:5] for r in simhash.keep_one(d).collect()) == ["a who", "one t", "same "]
+
+
+def test_links_of_hot_entries_are_joined_by_sorting(spark):
+    """Adaptive execution made tables of a ball's points on the driver."""
+    found = simhash.links(spark.createDataFrame([(i,) for i in range(40)], "fp long"), hot_entry=2)
+    found.collect()
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()

@@ -29,6 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     while after != before:
         before = after
+        common.release()  # plans of earlier rounds, which hold what they broadcast
         # Large star: each larger neighbour of a node is tied to the smallest of its neighbours and itself.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = common.durable(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")))

@@ -129,16 +129,17 @@ def links(prints: DataFrame, radius: int = RADIUS, segments: int = 3, hot_entry:
 
     sizes = entries.groupBy("seg", "val").agg(F.count("*").alias("n"))
     hot = common.durable(sizes.filter(F.col("n") > hot_entry).select("seg", "val"))
-    cold_entries = entries.join(hot, ["seg", "val"], "left_anti")
+    # every join is by sorting: adaptive execution would collect and build tables of many points on the driver, as their shuffled bytes are few
+    cold_entries = entries.join(hot.hint("merge"), ["seg", "val"], "left_anti")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius
     # balls are symmetric, so each link is found from both of its ends: the larger one's lookup is enough
-    cold = lookups.join(cold_entries.withColumnRenamed("fp", "other"), ["seg", "val"]).filter((F.col("fp") > F.col("other")) & near).select(F.col("fp").alias("a"), F.col("other").alias("b"))
+    cold = lookups.join(cold_entries.withColumnRenamed("fp", "other").hint("merge"), ["seg", "val"]).filter((F.col("fp") > F.col("other")) & near).select(F.col("fp").alias("a"), F.col("other").alias("b"))
     if hot.isEmpty():
         return cold
-    inside = lookups.join(hot, ["seg", "val"], "left_semi").select("fp").distinct()
+    inside = common.durable(lookups.join(hot.hint("merge"), ["seg", "val"], "left_semi").select("fp").distinct())
     points = inside.select("fp", F.explode(_longs(_ball(64, radius // 2))).alias("mask")).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("point"), "fp")
     least = points.groupBy("point").agg(F.min("fp").alias("b"))
-    stars = points.join(least, "point").filter(F.col("fp") > F.col("b")).select(F.col("fp").alias("a"), "b").distinct()
+    stars = points.join(least.hint("merge"), "point").filter(F.col("fp") > F.col("b")).select(F.col("fp").alias("a"), "b").distinct()
     return cold.unionByName(stars)
 
 
@@ -153,7 +154,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = common.durable(fingerprints(docs, id_col, text_col, shingle_words))
     classes = common.durable(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     joined = components(links(classes.select("fp"), radius, segments or best_segments(classes.count(), radius), hot_entry))
-    labelled = common.durable(classes.join(joined, classes.fp == joined.node, "left").select("fp", "least", classes.n.alias("copies"), F.coalesce("root", "fp").alias("root")))
+    labelled = common.durable(classes.join(joined.hint("merge"), classes.fp == joined.node, "left").select("fp", "least", classes.n.alias("copies"), F.coalesce("root", "fp").alias("root")))
     # least id of each component, then of each fingerprint
     roots = common.durable(labelled.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("n")))
     by_print = common.durable(common.join_counted(labelled, roots, ["root"]).select("fp", "component", F.col("copies").alias("n")))
