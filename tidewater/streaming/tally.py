@@ -40,24 +40,23 @@ class Tally(StatefulProcessor):
         return tuple(self.closed.get()) if self.closed.exists() else (0, 0, None, 0)
 
     def handleInputRows(self, key, rows: Iterable, timerValues) -> Iterator:
-        import pandas as pd
-
         days: dict[int, tuple[int, int, set[int]]] = {}
         for frame in rows:  # a part of the batch at a time
             seconds = frame["ts"].astype("datetime64[us]").astype("int64") // 1_000_000
-            own = pd.DataFrame({"day": seconds // BUCKET, "second": seconds, "h": (frame["value"] * 100).round()})
-            for day, rows_of in own.groupby("day"):
-                n, hundredths, held = days.get(day, (0, 0, set()))
-                days[day] = n + len(rows_of), hundredths + int(rows_of["h"].sum()), held | set(rows_of["second"].tolist())
+            for second, h in zip(seconds.tolist(), (frame["value"] * 100).round().tolist(), strict=True):
+                n, hundredths, held = days.setdefault(second // BUCKET, (0, 0, set()))
+                held.add(second)
+                days[second // BUCKET] = n + 1, hundredths + (int(h) if h == h else 0), held
+        # a key without a timer has no open days: none is asked for, and what is reported is at hand
         first = not any(True for _ in self.handle.listTimers())
         for day, (n, hundredths, held) in days.items():
-            if self.open.containsKey((day,)):
+            if not first and self.open.containsKey((day,)):
                 old = self.open.getValue((day,))
                 n, hundredths, held = n + old[0], hundredths + old[1], held | set(old[2])
             self.open.updateValue((day,), (n, hundredths, sorted(held)))
         if first:
             self._wake(days)
-        yield self._report(key)
+        yield self._report(key, days if first else {k[0]: v for k, v in self.open.iterator()})
 
     def _wake(self, days: Iterable[int]) -> None:
         self.handle.registerTimer((min(days) + 1) * BUCKET * 1000)
@@ -76,13 +75,14 @@ class Tally(StatefulProcessor):
             self._wake(left)
         yield from ()
 
-    def _report(self, key):
+    def _report(self, key, days: dict[int, tuple]):
         import pandas as pd
 
         n, hundredths, last, longest = self._closed()
-        for _, own in sorted((k[0], v) for k, v in self.open.iterator()):
+        for day in sorted(days):
+            own = days[day]
             n, hundredths = n + own[0], hundredths + own[1]
-            last, longest = longest_gap(own[2], last, longest)
+            last, longest = longest_gap(sorted(own[2]), last, longest)
         return pd.DataFrame({"user_id": [key[0]], "n": [n], "hundredths": [hundredths], "longest_s": [longest]})
 
     def close(self) -> None:
