@@ -50,3 +50,24 @@ def test_odd_rows(spark):
     assert ranking.score(docs.limit(0), ranking.fit(docs.limit(0), table), "s").count() == 0
     alone = ranking.fit(docs, table.filter("quality = 1"))
     assert {round(r.s, 9) for r in ranking.score(docs, alone, "s").collect()} == {0.5}
+
+
+def test_all_labelled_rows_are_learned_from(spark):
+    """More rows than a bounded sample: the weights are those of all pairs, and the threshold leaves exactly as many below as are poor."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice(["Lone", "ri7", "ta!", "mé", "s#", "go."]) * rng.randrange(1, 9) for _ in range(rng.randrange(3, 30)))) for i in range(8100)]
+    labels = [(i, int(rng.random() < 0.2 + 0.6 * ("#" not in t[:40]))) for i, t in rows]
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    ranks = ranking.fit(docs, table)
+    own = table.filter(~labelled.held_out("doc_id", 5, 0)).select("doc_id", "quality", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).orderBy("h", "doc_id").collect()
+    measured = ranking.of_column(pa.array([rows[r.doc_id][1] for r in own]))
+    marks = np.array([r.quality for r in own])
+    assert len(own) > labelled.SAMPLE_ROWS
+    assert int((ranks.score(measured) < ranking.THRESHOLD).sum()) == int((marks == 0).sum())
+    low, high = measured[marks == 0], measured[marks == 1]
+    met = [high[(p * ranking.OPPONENTS + k) % len(high)] - low[p] for p in range(len(low)) for k in range(ranking.OPPONENTS)]
+    difference = np.array(met + [high[g] - low[g % len(low)] for g in range(len(high))])
+    scale = measured.std(axis=0) + 1e-6
+    n, slope, _ = ranking.pair_sums(difference / scale, ranks.weights * scale)
+    assert n == ranking.OPPONENTS * len(low) + len(high)
+    assert np.abs(slope / n - ranking.DECAY * ranks.weights * scale).max() < 1e-6

@@ -148,6 +148,20 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def numbered(df: DataFrame, order: list[str], within: list[str], name: str = "number") -> DataFrame:
+    """``df``, durable, with each row's place from 0 by ``order``, then ``within``; the driver sees one number for each partition."""
+    placed = durable(df.repartitionByRange(*order).sortWithinPartitions(*order, *within))
+    part, at = free_name(df, "_part"), free_name(df, "_at")
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # its upper bits are the partition
+    rows = placed.select("*", F.spark_partition_id().alias(part), inside.alias(name))
+    begins, total = [], 0
+    for r in rows.groupBy(part).agg(F.count("*").alias("n")).orderBy(part).collect():
+        begins.append((r[part], total))
+        total += r.n
+    starts = df.sparkSession.createDataFrame(begins, f"{part} int, {at} long")
+    return rows.join(F.broadcast(starts), part).withColumn(name, F.col(name) + F.col(at)).select(*df.columns, name)
+
+
 #: Keys with more than one in so many rows are hot: there are fewer of them than this.
 HOT_SHARE = 1000
 

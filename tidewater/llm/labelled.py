@@ -25,6 +25,19 @@ def held_out(id_col: str, modulus: int, value: int) -> Column:
     return F.coalesce(remainder(id_col, modulus) == value, F.lit(False))
 
 
+def known(docs: DataFrame, labels: DataFrame, label: str, modulus: int, value: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``(id, label)`` of all labels 0 and 1 that are not held out, and ``(id, text)`` of all documents that may have one.
+
+    No text is shuffled: the documents are told by ``common.suspects``, and more of them than are labelled may be left.
+    """
+    kind = dict(docs.dtypes)[id_col]
+    own = labels.filter(F.col(label).isin(0, 1) & ~held_out(id_col, modulus, value))
+    own = common.durable(own.select(F.col(id_col).try_cast(kind).alias("id"), F.col(label).cast("int").alias("label")).filter("id IS NOT NULL"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    may, _ = common.suspects(texts, F.xxhash64("id"), own.select(F.xxhash64("id").alias("h")))
+    return own, may
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, value: int, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
     """Texts and 0/1 labels of at most ``rows`` labelled rows that are not held out, and of at most ``chars`` characters in all.
 

@@ -1,19 +1,24 @@
 """Document quality by Bradley-Terry ranking of pairs.
 
 Each text has a short vector of measures of form.  Preference pairs are made of
-a bounded sample of labelled rows, each poor text against several good ones;
+all labelled rows, each poor text against several good ones and each good one against a poor one;
 the chance that one is preferred is the logistic curve of the difference of
 their scores, and the score is linear in the measures, so the weights are
 learned by logistic loss on feature differences.  The threshold is the quantile
-of the sample's scores that leaves as many below as are labelled poor; the
+of all labelled rows' scores that leaves as many below as are labelled poor; the
 returned score is shifted so that it reads ``THRESHOLD`` there.
 
+Pairs lie dealt over the executors.  A step of the training is one pass over them that sums
+the loss's slope and bend, so the driver sees these sums only; texts aren't shuffled.
+
 Words are runs of anything but ASCII white space.  A null or empty text has
 none: its measures are 0.  Without pairs every text scores one half.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -101,31 +106,48 @@ def measures(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def pair_sums(difference: np.ndarray, weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Number of pairs, and the sums of the slopes and bends of their log-likelihood at ``weights``."""
+    p = 1 / (1 + np.exp(-np.clip(difference @ weights, -30, 30)))
+    return len(p), difference.T @ (1 - p), (difference * (p * (1 - p))[:, None]).T @ difference
+
+
+def newton(sums: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]], width: int, steps: int = 30) -> np.ndarray:
+    """Weights of least loss with decay, by damped Newton steps over ``sums`` of all pairs."""
+    w = np.zeros(width)
+    for _ in range(steps):
+        n, slope, bend = sums(w)
+        step = np.linalg.solve(bend / n + DECAY * np.eye(width), slope / n - DECAY * w)
+        w += step / max(1.0, float(np.abs(step).max()))
+        if np.abs(step).max() < 1e-10:
+            break
+    return w
+
+
 class Ranking:
     """Weights of the measures, and the score that lies at the threshold."""
 
     def __init__(self, weights: np.ndarray, cut: float, slope: float = 1.0) -> None:
         self.weights, self.cut, self.slope = weights, cut, slope
 
+    @classmethod
+    def even(cls, width: int) -> Ranking:
+        """One half for every text."""
+        return cls(np.zeros(width), np.log(THRESHOLD / (1 - THRESHOLD)))
+
     @classmethod
     def fit(cls, rows: np.ndarray, labels: np.ndarray, steps: int = 30, seed: int = 1) -> Ranking:
+        """Of rows in memory, with drawn opponents; ``fit`` below is for tables."""
         good, poor = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
         if not len(good) or not len(poor):
-            return cls(np.zeros(rows.shape[1]), np.log(THRESHOLD / (1 - THRESHOLD)))
+            return cls.even(rows.shape[1])
         rng = np.random.default_rng(seed)
         scale = rows.std(axis=0) + 1e-6
         # the poor text loses to each opponent, and each good text meets a poor one
         winners = np.concatenate([rng.choice(good, len(poor) * OPPONENTS), good])
         losers = np.concatenate([np.repeat(poor, OPPONENTS), rng.choice(poor, len(good))])
         difference = (rows[winners] - rows[losers]) / scale
-        w = np.zeros(rows.shape[1])
-        for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(difference @ w, -30, 30)))
-            slope = difference.T @ (1 - p) / len(p) - DECAY * w
-            bend = (difference * (p * (1 - p))[:, None]).T @ difference / len(p) + DECAY * np.eye(len(w))
-            step = np.linalg.solve(bend, slope)
-            w += step / max(1.0, float(np.abs(step).max()))
-        w = w / scale
+        w = newton(lambda w: pair_sums(difference, w), rows.shape[1], steps) / scale
         scores = rows @ w
         return cls(w, float(np.quantile(scores, len(poor) / len(labels))))
 
@@ -141,10 +163,72 @@ def of_column(column: pa.Array) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros((0, len(MEASURES)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 5, value: int = 0, id_col: str = "doc_id", text_col: str = "text", rows: int = labelled.SAMPLE_ROWS) -> Ranking:
-    """A ranking learned from at most ``rows`` labelled rows whose crc32(id) modulo ``modulus`` is not ``value``."""
-    texts, marks = labelled.sample(docs, labels, label, modulus, value, id_col, text_col, rows)
-    return Ranking.fit(of_column(pa.array(texts, pa.string())), np.array(marks, dtype=np.int64))
+def measured(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 5, value: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, label, measures)`` of all labelled rows whose crc32(id) modulo ``modulus`` is not ``value``; of repeated rows each counts."""
+    known, texts = labelled.known(docs, labels, label, modulus, value, id_col, text_col)
+    kind = dict(texts.dtypes)["id"]
+    rows = common.map_arrow(texts, lambda batch: {"id": batch.column(0), "measures": _lists(of_column(batch.column(1)))}, f"id {kind}, measures array<double>")
+    return rows.join(known.hint("merge"), "id").select("id", "label", "measures")
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    n, width = rows.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * width, max(1, width)), pa.int32()), pa.array(rows.reshape(-1)))
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
+def pairs(rows: DataFrame, poor: int, good: int) -> DataFrame:
+    """``(difference)`` of measures, better minus worse, of ``rows`` (label, measures, number), the poor ones numbered first.
+
+    The ``OPPONENTS`` good texts of a poor one are the next ones in their order, so all take part equally often but for one.
+    """
+    low = rows.filter("label = 0").select(F.col("number").alias("p"), F.col("measures").alias("low"))
+    high = rows.filter("label = 1").select((F.col("number") - poor).alias("g"), F.col("measures").alias("high"))
+    each = F.transform(F.sequence(F.lit(0), F.lit(OPPONENTS - 1)), lambda k: F.pmod(F.col("p") * OPPONENTS + k, F.lit(good)))
+    several = low.select("low", F.explode(each).alias("g")).join(high.hint("merge"), "g")
+    one = high.select("high", F.pmod("g", F.lit(poor)).alias("p")).join(low.hint("merge"), "p")
+    return several.select("high", "low").unionByName(one.select("high", "low")).select(F.zip_with("high", "low", lambda a, b: a - b).alias("difference"))
+
+
+def _summed(met: DataFrame, weights: np.ndarray, scale: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """``pair_sums`` over all rows of ``met``."""
+
+    def rows(batch: pa.RecordBatch) -> dict:
+        n, slope, bend = pair_sums(_rows(batch.column(0)) / scale, weights)
+        return {"sums": [np.concatenate([[n], slope, bend.ravel()])]}
+
+    parts = common.map_arrow(met, rows, "sums array<double>").select(F.posexplode("sums").alias("k", "x"))
+    out = np.zeros(1 + len(weights) + len(weights) ** 2)
+    for r in parts.groupBy("k").agg(F.sum("x").alias("x")).collect():
+        out[r.k] = r.x
+    return out[0], out[1 : 1 + len(weights)], out[1 + len(weights) :].reshape(len(weights), -1)
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 5, value: int = 0, id_col: str = "doc_id", text_col: str = "text") -> Ranking:
+    """A ranking learned from all labelled rows whose crc32(id) modulo ``modulus`` is not ``value``, and the threshold of their scores."""
+    width = len(MEASURES)
+    found = measured(docs, labels, label, modulus, value, id_col, text_col).withColumn("order", F.xxhash64(F.col("id").cast("string")))
+    rows = common.numbered(found, ["label", "order", "id"], ["measures"])
+    sizes = dict(map(tuple, rows.groupBy("label").agg(F.count("*")).collect()))
+    poor, good = sizes.get(0, 0), sizes.get(1, 0)
+    if not poor or not good:
+        return Ranking.even(width)
+    scale = np.full(width, 1e-6)
+    for r in rows.select(F.posexplode("measures").alias("k", "x")).groupBy("k").agg(F.stddev_pop("x").alias("x")).collect():
+        scale[r.k] += r.x
+    met = common.durable(pairs(rows, poor, good))
+    # the order of sums differs from run to run in the last digits
+    weights = np.round(newton(lambda w: _summed(met, w, scale), width), 7) / np.array([float(f"{s:.9g}") for s in scale])
+    scores = common.map_arrow(rows.select("measures", "number"), lambda batch: {"score": _rows(batch.column(0)) @ weights, "row": batch.column(1)}, "score double, row long")
+    # by row after score, so that equal scores of many copies are dealt to several tasks
+    near = common.numbered(scores, ["score", "row"], []).filter(F.col("number").isin(poor - 1, poor)).orderBy("number").collect()
+    below, above = near[0].score, near[-1].score
+    common.release()
+    # equal scores, which rounding may tell apart, are on one side
+    return Ranking(weights, below + (above - below) * (1 - poor / (poor + good)) - 1e-9)
 
 
 def score(docs: DataFrame, ranking: Ranking, name: str = "quality_score", text_col: str = "text") -> DataFrame:
