@@ -1,4 +1,4 @@
-"""Near copies at a similarity, by long SimHash fingerprints behind tables whose keys don't grow with the corpus.
+"""Near copies at a similarity, by long SimHash fingerprints.
 
 ``simhash`` links 64-bit fingerprints that differ in a few bits, which near copies
 at a similarity of 0.8 don't: about 15 % of their bits differ.  So here a
@@ -7,13 +7,12 @@ shingles of ``SHINGLE_WORDS`` words, and texts are linked if at most the share o
 bits differs that the similarity stands for, with a margin (``limit``) of 1.7 deviations
 so that 95 % of the pairs right at the similarity are linked.
 
-Segments of such a fingerprint can't be the keys of the tables: to keep entries small
-they widen with the logarithm of the corpus, and at 0.8 a pair then meets in ever fewer of them, so
-that each text would need 93 keys among 200,000 texts and 2,137 among 10^11.  The keys are
-bands of least hashes instead, whose chance to meet depends on the similarity alone.
+``keep_one``, the pipeline's stage, finds them by multi-index hashing (``multi_index``).
+``near_copies`` has bands of least hashes for keys, whose chance to meet depends on the similarity alone,
+so that its rows don't grow with the logarithm of the corpus as segments do.  For both:
 
 1. Equal fingerprints are folded to one node.
-2. Each node has ``BANDS`` keys of ``ROWS`` least hashes of its shingles.  A key with more than ``hot_entry`` nodes is
+2. With bands, each node has ``BANDS`` keys of ``ROWS`` least hashes of its shingles.  A key with more than ``hot_entry`` nodes is
    split by ``SPLITS`` further keys of ``SPLIT_ROWS`` other least hashes each, so that what
    shares only a passage parts.  A pair right at the similarity meets with a chance of
    99.4 % in the first, and again in the second.
@@ -42,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _common as common
+from . import multi_index
 from .components import components
 from .simhash import SEED
 
@@ -141,6 +141,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return common.map_arrow(named, rows, "id long, key long, fp binary, keys array<long>, splits array<long>")
 
 
+def prints_only(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, bits: int = BITS) -> DataFrame:
+    """``(id, key, fp)`` as of ``fingerprints``."""
+    named = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("text"))
+
+    def rows(batch: pa.RecordBatch) -> dict:
+        return {"id": batch.column(0), "key": batch.column(1), "fp": [fingerprint(shingles(text, shingle_words), bits) for text in common.each_text(batch.column(2))]}
+
+    return common.map_arrow(named, rows, "id long, key long, fp binary")
+
+
 def _runs(names: list[str], make: Callable[[dict[str, np.ndarray | pa.Array], np.ndarray], dict], schema: str, df: DataFrame) -> DataFrame:
     """``df``, sorted by ``names`` within its partitions, through ``make`` of columns and begins of whole runs of equal ``names``; a run that goes on in the next batch waits for it."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -206,14 +216,23 @@ def links(nodes: DataFrame, most: int, hot_entry: int = HOT_ENTRY, block: int =
     cold = table.join(few, "key").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "node")
     hot = nodes.select("node", "splits", F.explode("keys").alias("key")).join(many, "key")
     split = common.durable(hot.select("node", "key", F.explode("splits").alias("split")).select("node", F.xxhash64("key", "split").alias("key")))
-    # each member of a hot entry's part goes to the pairs of blocks that its own block is in
+    return walked(cold.unionByName(blocked(split, block)), nodes, most).distinct()
+
+
+def blocked(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``(key, i, j, node)`` of ``members`` (key, node), a durable table: each goes to the pairs of blocks of its key that its own block is in."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     blocks = F.ceil(F.col("n") / block).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     each = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("mine")).alias("i"), F.greatest(k, F.col("mine")).alias("j")))
-    parts = split.join(sized(split), "key").withColumn("blocks", blocks).withColumn("mine", mine).select("key", F.explode(each).alias("p"), "node").select("key", "p.i", "p.j", "node")
-    members = cold.unionByName(parts).join(nodes.select("node", "fp"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    return members.join(sizes, "key").withColumn("blocks", blocks).withColumn("mine", mine).select("key", F.explode(each).alias("p"), "node").select("key", "p.i", "p.j", "node")
+
+
+def walked(members: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """``(a, b)`` that connect what chains of distances up to ``most`` connect in each (key, i, j) of ``members``."""
+    members = members.join(nodes.select("node", "fp"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
 
-    def walked(columns: dict, begins: np.ndarray) -> dict:
+    def of_runs(columns: dict, begins: np.ndarray) -> dict:
         node = columns["node"].to_numpy()
         prints = np.frombuffer(b"".join(columns["fp"].to_pylist()), dtype=np.uint8).reshape(len(node), -1)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -224,16 +243,19 @@ def links(nodes: DataFrame, most: int, hot_entry: int = HOT_ENTRY, block: int =
                 b.append(node[x:y][two])
         return {"a": np.concatenate(a), "b": np.concatenate(b)}
 
-    return _runs(["key", "i", "j"], walked, "a long, b long", members).distinct()
+    return _runs(["key", "i", "j"], of_runs, "a long, b long", members)
 
 
-def _placed(docs: DataFrame, id_col: str, text_col: str, similarity: float, shingle_words: int, bits: int, hot_entry: int, block: int) -> DataFrame:
+def _placed(docs: DataFrame, id_col: str, text_col: str, similarity: float, shingle_words: int, bits: int, hot_entry: int, block: int, bands: bool) -> DataFrame:
     """``(id, key, least, least_key)`` of each row: itself, and the smallest id of its group with the smallest text hash of that id."""
-    prints = common.durable(fingerprints(docs, id_col, text_col, shingle_words, bits))
+    prints = common.durable((fingerprints if bands else prints_only)(docs, id_col, text_col, shingle_words, bits))
     # texts of one fingerprint have nearly the same shingles; the least keys stand for all
-    whole = prints.groupBy("fp").agg(F.min(F.struct("id", "key")).alias("least"), F.count("*").alias("copies"), F.min(F.struct("keys", "splits")).alias("held"))
-    nodes = common.durable(whole.select("fp", "least", "copies", "held.*", F.monotonically_increasing_id().alias("node")))
-    joined = components(links(nodes, limit(similarity, bits), hot_entry, block)).withColumnRenamed("node", "_node")
+    held = [F.min(F.struct("keys", "splits")).alias("held")] if bands else []
+    whole = prints.groupBy("fp").agg(F.min(F.struct("id", "key")).alias("least"), F.count("*").alias("copies"), *held)
+    nodes = common.durable(whole.select("fp", "least", "copies", *(["held.*"] if bands else []), F.monotonically_increasing_id().alias("node")))
+    most = limit(similarity, bits)
+    near = links(nodes, most, hot_entry, block) if bands else multi_index.links(nodes, most, differing(similarity), bits, hot_entry, block)
+    joined = components(near).withColumnRenamed("node", "_node")
     labelled = nodes.join(joined, F.col("node") == F.col("_node"), "left").select("fp", "least", "copies", F.coalesce("root", "node").alias("root"))
     labelled = common.durable(labelled)
     roots = common.durable(labelled.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("n")))
@@ -242,18 +264,18 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, similarity: float, shin
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle_words: int = SHINGLE_WORDS, bits: int = BITS, hot_entry: int = HOT_ENTRY, block: int = BLOCK) -> DataFrame:
-    """``(id, component)``: of each row the smallest id that chains of near copies reach, its own included."""
-    return _placed(docs, id_col, text_col, similarity, shingle_words, bits, hot_entry, block).select("id", F.col("least").alias("component"))
+    """``(id, component)``: of each row the smallest id that chains of near copies reach, its own included; candidates are those of the bands."""
+    return _placed(docs, id_col, text_col, similarity, shingle_words, bits, hot_entry, block, True).select("id", F.col("least").alias("component"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle_words: int = SHINGLE_WORDS, bits: int = BITS, hot_entry: int = HOT_ENTRY, block: int = BLOCK) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle_words: int = SHINGLE_WORDS, bits: int = BITS, hot_entry: int = multi_index.HOT_ENTRY, block: int = BLOCK) -> DataFrame:
     """``docs`` with one row of each group of near copies: that of the smallest id, and of several texts of this id the one with the smallest hash.
 
-    Of rows with equal ids and texts one stays, the first by a hash of all its columns.  Rows
+    Candidates are found by multi-index hashing of the fingerprints.  Of rows with equal ids and texts one stays, the first by a hash of all its columns.  Rows
     without an id can't stand for a group or be told apart; they all stay.  Only documents that
     may go are shuffled (``common.suspects``).
     """
     named = docs.filter(F.col(id_col).isNotNull())
-    placed = _placed(named, id_col, text_col, similarity, shingle_words, bits, hot_entry, block)
+    placed = _placed(named, id_col, text_col, similarity, shingle_words, bits, hot_entry, block, False)
     stays = (F.col("id") == F.col("least")) & (F.col("key") == F.col("least_key"))
     return common.keep_first(docs, placed.select("id", "key", stays.alias("stays")), id_col, text_col)
