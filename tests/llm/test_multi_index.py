@@ -65,3 +65,12 @@ def test_pipeline_looks_up_segments(spark, monkeypatch, tmp_path):
     docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(60)) + f" end {i}") for i in range(4)] + [(9, "quite another text")], "doc_id long, text string")
     left = pipeline.without_near_copies(spark, docs, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in left) == [0, 9] and seen == [(62, 16)]
+
+
+def test_groups_do_not_list_their_pairs():
+    """Entries of 30 near copies and of two: the first gives its members, the second its pair."""
+    key = np.repeat([5, 6, 7], [30, 2, 2])
+    same = np.zeros(34, np.int64)
+    same[33] = -1
+    got = mi.found({"node": mi.pa.array(np.arange(34)), "key": mi.pa.array(key), "s": mi.pa.array(same), "t": mi.pa.array(same)}, np.array([0, 30, 32]), 39, 32)
+    assert got["a"].tolist() == [31, *range(30)] and got["b"].to_pylist() == [30] + [None] * 30 and got["key"].to_pylist() == [None] + [5] * 30

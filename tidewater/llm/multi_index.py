@@ -12,14 +12,15 @@ Their number grows with the logarithm of the corpus and the segments with them:
 500,000 different texts, 143 for 16 million.
 
 1. Each entry is a run of rows with the table's key, the text's number and a sketch of 128 bits.
-2. Pairs of an entry of up to ``hot_entry`` texts whose sketches may be near enough are listed once and
-   verified by complete distances.
-3. A larger entry holds a group of near copies.  It is walked by complete distances, so
+2. In an entry of up to ``hot_entry`` texts sketches are compared.  Pairs that may be near enough are listed and
+   verified by complete distances, unless they are as many as the texts in them.
+3. Else these texts, and all those of a larger entry, are a group of near copies.  It is walked by complete distances, so
    its pairs aren't listed (``near_copies.walked``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from math import ceil, log, log2, sqrt
 
 import numpy as np
@@ -33,6 +34,8 @@ LEAST_WIDTH = 16
 LOAD = 8
 FOUND = 0.99
 HOT_ENTRY = 32
+#: Texts whose entries a worker makes at once.
+AT_ONCE = 512
 #: Bits of a sketch.
 SKETCH = 128
 
@@ -50,13 +53,13 @@ def segments(n: int, differ: float, bits: int) -> np.ndarray:
 def values(prints: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """Keys (row, segment) of fingerprints (row, byte): the segment's number and its bits."""
     out = np.empty((len(prints), len(chosen)), dtype=np.int64)
-    for at in range(0, len(prints), 4096):
-        bits = np.unpackbits(prints[at : at + 4096], axis=1)
+    for at in range(0, len(prints), AT_ONCE):
+        bits = np.unpackbits(prints[at : at + AT_ONCE], axis=1)
         for k, places in enumerate(chosen):
             own = np.full(len(bits), k + 1, dtype=np.int64)
             for p in places.tolist():
                 own = own << 1 | bits[:, p]
-            out[at : at + 4096, k] = own
+            out[at : at + AT_ONCE, k] = own
     return out
 
 
@@ -74,41 +77,51 @@ def matrix(column: pa.Array) -> np.ndarray:
 def entries(nodes: DataFrame, chosen: np.ndarray) -> DataFrame:
     """``(key, node, s, t)``: a row for each text and segment, with both halves of the sketch; fingerprint zero has none."""
 
-    def rows(batch: pa.RecordBatch) -> dict:
-        prints = matrix(batch.column(1))
-        some = prints.any(axis=1)
-        prints, node = np.ascontiguousarray(prints[some]), batch.column(0).to_numpy()[some]
-        sketch = np.ascontiguousarray(prints[:, : SKETCH // 8]).view(np.int64)
-        times = len(chosen)
-        return {"key": values(prints, chosen).ravel(), "node": np.repeat(node, times), "s": np.repeat(sketch[:, 0], times), "t": np.repeat(sketch[:, 1], times)}
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                prints = matrix(part.column(1))
+                some = prints.any(axis=1)
+                prints, node = np.ascontiguousarray(prints[some]), part.column(0).to_numpy()[some]
+                sketch = np.ascontiguousarray(prints[:, : SKETCH // 8]).view(np.int64)
+                columns = [values(prints, chosen).ravel(), *(np.repeat(c, len(chosen)) for c in (node, sketch[:, 0], sketch[:, 1]))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "s", "t"])
 
-    return common.map_arrow(nodes.select("node", "fp"), rows, "key long, node long, s long, t long")
+    common.bounded_batches(nodes.sparkSession)
+    return nodes.select("node", "fp").mapInArrow(rows, "key long, node long, s long, t long")
 
 
 def found(columns: dict, begins: np.ndarray, limit: int, hot_entry: int) -> dict:
-    """Pairs (a, b) of small runs whose sketches are near, and members (a, key) of larger runs."""
+    """Pairs (a, b) whose sketches are near, of small runs with fewer of them than rows, and members (a, key) of the other runs that have any."""
     node, key = (columns[c].to_numpy() for c in ("node", "key"))
     s, t = (columns[c].to_numpy().view(np.uint64) for c in ("s", "t"))
     sizes = np.diff(np.append(begins, len(node)))
-    left = np.repeat(sizes, sizes) - (np.arange(len(node)) - np.repeat(begins, sizes)) - 1  # rows of the run after this one
-    hot = np.repeat(sizes > hot_entry, sizes)
-    left[hot] = 0
-    a, b = [], []
+    run = np.repeat(np.arange(len(sizes)), sizes)
+    left = begins[run] + sizes[run] - np.arange(len(node)) - 1  # rows of the run after this one
+    hot = sizes > hot_entry
+    left[hot[run]] = 0
+    one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     at, step = np.flatnonzero(left > 0), 1
     while len(at):
-        other = at + step
-        near = np.bitwise_count(s[at] ^ s[other]) + np.bitwise_count(t[at] ^ t[other]) <= limit
-        one, two = node[at[near]], node[other[near]]
-        a.append(np.maximum(one, two))
-        b.append(np.minimum(one, two))
+        near = at[np.bitwise_count(s[at] ^ s[at + step]) + np.bitwise_count(t[at] ^ t[at + step]) <= limit]
+        one.append(near)
+        two.append(near + step)
         step += 1
         at = at[left[at] >= step]
-    pairs = sum(map(len, a))
-    members = int(hot.sum())
+    x, y = np.concatenate(one), np.concatenate(two)
+    # a group's pairs grow with its square, its members don't
+    partners = np.zeros(len(node), dtype=bool)
+    partners[x] = partners[y] = True
+    dense = hot | (np.bincount(run[x], minlength=len(sizes)) >= np.maximum(2, np.bincount(run[partners], minlength=len(sizes))))
+    member = hot[run] | partners & dense[run]
+    listed = ~dense[run[x]]
+    x, y = node[x[listed]], node[y[listed]]
+    pairs, members = len(x), int(member.sum())
     return {
-        "a": np.concatenate([*a, node[hot]]) if pairs or members else np.zeros(0, np.int64),
-        "b": pa.array(np.concatenate([*b, np.zeros(members, np.int64)]), mask=np.arange(pairs + members) >= pairs) if pairs or members else pa.array([], pa.int64()),
-        "key": pa.array(np.concatenate([np.zeros(pairs, np.int64), key[hot]]), mask=np.arange(pairs + members) < pairs),
+        "a": np.concatenate([np.maximum(x, y), node[member]]),
+        "b": pa.array(np.concatenate([np.minimum(x, y), np.zeros(members, np.int64)]), mask=np.arange(pairs + members) >= pairs),
+        "key": pa.array(np.concatenate([np.zeros(pairs, np.int64), key[member]]), mask=np.arange(pairs + members) < pairs),
     }
 
 
