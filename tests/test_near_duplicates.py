@@ -28,6 +28,16 @@ def test_components(spark, shape):
     assert {r.node: r.component for r in rows} == want and len(rows) == len(want)
 
 
+@pytest.mark.parametrize("most", [0, 5, 60])
+def test_components_by_rounds_until_few_are_left(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "FEW", most)
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(70)] + [(500, i) for i in range(100, 190)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]
+    rows = graph.components(spark.createDataFrame([(f"n{a:03}", f"n{b:03}") for a, b in edges], "a string, b string")).collect()
+    want = plain_components([e for e in edges if e[0] != e[1]])
+    assert {r.node: r.component for r in rows} == {f"n{a:03}": f"n{b:03}" for a, b in want.items()} and len(rows) == len(want)
+
+
 def shingle_set(text):
     own = (text or "").lower().split()
     return {" ".join(own[i : i + 5]) for i in range(max(1, len(own) - 4))} if own else set()
@@ -116,5 +126,76 @@ def test_what_an_early_leader_took_is_linked_with_what_later_ones_reach(spark):
         assert got == {i: i - i % 3 for i in range(36)}
 
 
+def on_disk(spark):
+    """Bytes of each file that is written on the way: the shared folder's, and those of shuffles."""
+    from pathlib import Path
+
+    from tidewater.session import shared_folder
+
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+    found = {}
+    while files.hasNext():
+        f = files.next()
+        found[f.getPath()] = f.length()
+    own = shared_folder(spark).removeprefix("file:")
+    return found | {str(f): f.stat().st_size for f in Path(own).rglob("*") if f.is_file()}
+
+
+def test_less_is_left_on_disk_than_the_texts_have(spark):
+    """Sets of shingles aren't written, and shuffle files go with the query that made them."""
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(4000)}" for _ in range(900)] for _ in range(150)]
+    rows = [(i, " ".join(t)) for i, t in enumerate([*base, *(changed(rng, t, 5) for t in base[:40])])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    before = on_disk(spark)
+    got = near_duplicates.near_duplicates(df, "doc_id", "text")
+    added = sum(n for f, n in on_disk(spark).items() if f not in before)
+    assert added < sum(len(t) for _, t in rows)
+    assert {r.id: r.class_id for r in got.collect()} == {i: i if i < 150 else i - 150 for i in range(190)}
+
+
+def test_large_groups_are_dealt_to_pairs_of_blocks(spark, monkeypatch):
+    """Whatever a task may hold, the classes are the same."""
+    df = spark.createDataFrame(texts(), "doc_id long, text string")
+    rows = lambda: sorted(map(tuple, near_duplicates.near_duplicates(df, "doc_id", "text").collect()))
+    want = rows()
+    for name, most in (("GROUP_TEXTS", 3), ("BIN_SHINGLES", 400)):
+        monkeypatch.setattr(near_duplicates, name, most)
+    assert rows() == want
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 5])
+def test_what_leaders_miss_is_met_in_every_block(spark, monkeypatch, blocks):
+    """One key with chains that no leader reaches as a whole, and sets that are like none: no pairs are listed."""
+    rows = [(c * 100 + k, [c * 10_000 + x for x in range(k * 10, k * 10 + 100)]) for c in range(4) for k in range(25)]
+    rows += [(1000 + i, [100_000 + 100 * i + x for x in range(100)]) for i in range(40)]
+    sets = spark.createDataFrame(rows, "id long, shingles array<long>")
+    keyed = spark.createDataFrame([(i, [7]) for i, _ in rows], "id long, keys array<long>")
+    monkeypatch.setattr(near_duplicates, "GROUP_TEXTS", -(-len(rows) // blocks))
+    got = near_duplicates.links(sets, keyed, 0.8).collect()
+    assert plain_components([(r.a, r.b) for r in got]) == {c * 100 + k: c * 100 for c in range(4) for k in range(25)}
+    assert len(got) < len(rows) * (2 + blocks)
+
+
+@pytest.mark.parametrize("text", ["", " \n", "One", "one two\tthree\vfour\ffive\rsix", "Äpfel ÄPFEL äpfel İ ß " * 3, "a\x1cb c\u00a0d e\u2003f g h i j", "x " * 40, "the same words again and " * 9])
+def test_hashes_are_those_of_the_column(spark, text):
+    from pyspark.sql import functions as F
+
+    got = spark.createDataFrame([(text,)], "t string").select(near_duplicates.shingles(F.col("t"))).first()[0]
+    own = near_duplicates.hashes(text.encode())
+    assert own.tolist() == sorted(got)
+    factors = near_duplicates.coefficients(65)
+    if got:
+        assert near_duplicates.signature(own, 65).tolist() == [min((a * (x % near_duplicates.PRIME) + b) % near_duplicates.PRIME for x in got) for a, b in factors]
+
+
+def test_estimates_of_components_do_not_grow_with_rounds(spark, monkeypatch):
+    monkeypatch.setattr(graph, "FEW", 0)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    found = graph.components(edges.join(edges.select("a"), "a").join(edges.select("b"), "b"))
+    assert int(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()).bit_length() < 10_000
+    assert found.filter("component = 0").count() == 301
+
+
 def test_empty_table(spark):
     assert near_duplicates.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0

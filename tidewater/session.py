@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +50,31 @@ def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder, its lineage cut."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read again.
+
+    Unlike what is ``durable`` it has the size of its files, not the estimate of the plan that it came from: that is a product
+    over joins, whose digits multiply with each round of a loop until they take minutes.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def sparing(spark: SparkSession, batch_bytes: int = 4_000_000) -> Iterator[None]:
+    """Within it a query's shuffle files go when it ends, so a frame that shuffles is to be run once, and batches for Python have about ``batch_bytes``."""
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(batch_bytes)}
+    before = {key: spark.conf.get(key, None) for key in own}
+    try:
+        for key, value in own.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
